@@ -3,23 +3,75 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .bpe import encode
 from .exact_dedup import exact_groups
+from .line_dedup import line_dedup
+from .mixing import mix
+from .sharding import histogram_shards
+
+#: The folder of the vocabularies; None: the one of the module public_tokenizers.
+TOKENIZERS: str | None = None
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer(name: str) -> tuple[str, str]:
+    """The path of a vocabulary and the pattern that splits texts for it."""
+    import public_tokenizers
+
+    return (f"{TOKENIZERS}/{name}" if TOKENIZERS else public_tokenizers.path(name)), public_tokenizers.PATTERN
+
+
+def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = encode(table(spark, sf_dir, "documents"), *tokenizer("byte_bpe_multi_50k.tiktoken"), decoded=True)
+    return rows.select("doc_id", "n_tokens", F.sha2("ids_text", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents"))
+
+
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = line_dedup(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return histogram_shards(table(spark, sf_dir, "documents"), 16)
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
+    "op1_bpe": op1_bpe,
+    "op4_mixing": op4_mixing,
+    "op6_line_dedup": op6_line_dedup,
+    "op9_sharding": op9_sharding,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
 ORACLE_SQL = {
+    "op6_line_dedup": r"""
+        WITH docs AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+        places AS (SELECT doc_id, generate_subscripts(lines, 1) AS pos, unnest(lines) AS line FROM docs),
+        keyed AS (
+            SELECT *, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'),
+                                'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+            FROM places),
+        common AS (
+            SELECT key, max(doc_id) AS largest FROM keyed WHERE length(key) >= 20
+            GROUP BY key HAVING count(DISTINCT doc_id) >= 3),
+        marked AS (SELECT k.*, c.key IS NOT NULL AND k.doc_id <> c.largest AS gone FROM keyed k LEFT JOIN common c USING (key))
+        SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
+               sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
+        FROM marked GROUP BY doc_id
+    """,
     "op10_exact_dedup": """
         WITH t AS (
             SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS norm

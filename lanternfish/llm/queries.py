@@ -10,6 +10,7 @@ from .exact_dedup import exact_groups
 from .language import identify_language
 from .line_dedup import line_dedup
 from .mixing import mix
+from .quality import quality
 from .sharding import histogram_shards
 from .toxicity import toxicity
 
@@ -33,6 +34,10 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_tokens", F.sha2("ids_text", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -60,6 +65,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_bpe": op1_bpe,
+    "op2_quality": op2_quality,
     "op3_toxicity": op3_toxicity,
     "op4_mixing": op4_mixing,
     "op6_line_dedup": op6_line_dedup,

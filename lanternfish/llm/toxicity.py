@@ -48,26 +48,22 @@ def words_of(text: str) -> list[str]:
     return LETTERS.findall(text.lower())
 
 
-def unlike(texts: list[str], keep: int = 4) -> list[int]:
-    """Places of texts that are no copies or near copies of texts before them.
-
-    A text is left out if one of its ``keep`` smallest hashes of three words in
-    a row, each by another hash function, was the smallest of a text before.
-    """
-    numbers: dict[str, int] = {}
-    seen: list[set[int]] = [set() for _ in range(keep)]
+def near_hashes(text: str) -> list[int]:
+    """For each of four hash functions the smallest hash of three words in a row; near copies have most in common."""
+    h = np.array([zlib.crc32(w.encode()) for w in words_of(text)] or [0], np.uint64)
+    with np.errstate(over="ignore"):
+        if len(h) > 2:
+            h = (h[:-2] * np.uint64(0x9E3779B97F4A7C15) + h[1:-1]) * np.uint64(0xC2B2AE3D27D4EB4F) + h[2:]
+        h ^= h >> np.uint64(29)
+        return [int(((h * np.uint64(m)) ^ (h >> np.uint64(31))).min()) for m in (0x9FB21C651E98DF25, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
+
+
+def unlike(texts: list[str]) -> list[int]:
+    """Places of texts that are no copies or near copies of texts before them: none of their near hashes has come up."""
+    seen: list[set[int]] = [set() for _ in range(4)]
     found = []
     for place, text in enumerate(texts):
-        words = words_of(text)
-        for w in words:
-            if w not in numbers:
-                numbers[w] = zlib.crc32(w.encode())
-        h = np.array([numbers[w] for w in words] or [0], np.uint64)
-        with np.errstate(over="ignore"):
-            if len(h) > 2:
-                h = (h[:-2] * np.uint64(0x9E3779B97F4A7C15) + h[1:-1]) * np.uint64(0xC2B2AE3D27D4EB4F) + h[2:]
-            h ^= h >> np.uint64(29)
-            least = [int(((h * np.uint64(m)) ^ (h >> np.uint64(31))).min()) for m in (0x9FB21C651E98DF25, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)[:keep]]
+        least = near_hashes(text)
         if not any(x in s for x, s in zip(least, seen, strict=True)):
             found.append(place)
         for x, s in zip(least, seen, strict=True):

@@ -13,6 +13,7 @@ from .mixing import mix
 from .quality import quality
 from .sharding import histogram_shards
 from .toxicity import toxicity
+from .vectors import near_vectors
 
 #: The folder of the vocabularies; None: the one of the module public_tokenizers.
 TOKENIZERS: str | None = None
@@ -46,6 +47,10 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
 
+def op5_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = line_dedup(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
@@ -68,6 +73,7 @@ QUERIES = {
     "op2_quality": op2_quality,
     "op3_toxicity": op3_toxicity,
     "op4_mixing": op4_mixing,
+    "op5_vectors": op5_vectors,
     "op6_line_dedup": op6_line_dedup,
     "op7_language": op7_language,
     "op9_sharding": op9_sharding,
@@ -75,6 +81,23 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op5_vectors": """
+        WITH RECURSIVE v AS (
+            SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
+        n AS (
+            SELECT vec_id, x, sqrt(list_inner_product(x, x)) AS size FROM v
+            WHERE len(x) > 0 AND len(list_filter(x, lambda e: e IS NULL OR NOT isfinite(e))) = 0),
+        links AS (
+            SELECT a.vec_id AS u, b.vec_id AS w FROM n a JOIN n b ON a.vec_id <> b.vec_id AND a.size > 0 AND b.size > 0
+            WHERE list_inner_product(a.x, b.x) / (a.size * b.size) >= 0.9),
+        reach AS (
+            SELECT vec_id AS u, vec_id AS w FROM v
+            UNION
+            SELECT r.u, l.w FROM reach r JOIN links l ON r.w = l.u),
+        least AS (SELECT u, min(w) AS component_id FROM reach GROUP BY u)
+        SELECT u AS vec_id, (SELECT count(*) FROM links l WHERE l.u = least.u) AS n_links, component_id, u = component_id AS kept
+        FROM least
+    """,
     "op6_line_dedup": r"""
         WITH docs AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
         places AS (SELECT doc_id, generate_subscripts(lines, 1) AS pos, unnest(lines) AS line FROM docs),

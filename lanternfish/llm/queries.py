@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .bpe import encode
 from .exact_dedup import exact_groups
+from .jaccard import jaccard_components
 from .language import identify_language
 from .line_dedup import line_dedup
 from .mixing import mix
@@ -60,6 +61,10 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_language(table(spark, sf_dir, "documents"))
 
 
+def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return histogram_shards(table(spark, sf_dir, "documents"), 16)
 
@@ -76,6 +81,7 @@ QUERIES = {
     "op5_vectors": op5_vectors,
     "op6_line_dedup": op6_line_dedup,
     "op7_language": op7_language,
+    "op8_jaccard": op8_jaccard,
     "op9_sharding": op9_sharding,
     "op10_exact_dedup": op10_exact_dedup,
 }
@@ -113,6 +119,28 @@ ORACLE_SQL = {
                sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
         FROM marked GROUP BY doc_id
     """,
+    "op8_jaccard": r"""
+        WITH RECURSIVE w AS (
+            SELECT doc_id, regexp_extract_all(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words
+            FROM documents),
+        s AS (
+            SELECT doc_id, list_distinct(list_transform(range(1, greatest(len(words) - 4, 1) + 1), lambda i: array_to_string(words[i:i + 4], ' '))) AS grams
+            FROM w WHERE len(words) > 0),
+        g AS (SELECT doc_id, unnest(grams) AS gram FROM s),
+        c AS (
+            SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS common FROM g a JOIN g b ON a.gram = b.gram AND a.doc_id < b.doc_id GROUP BY ALL),
+        links AS (
+            SELECT u, v FROM c JOIN s x ON x.doc_id = u JOIN s y ON y.doc_id = v
+            WHERE 100 * common >= 80 * (len(x.grams) + len(y.grams) - common)),
+        both_ways AS (SELECT u, v FROM links UNION ALL SELECT v, u FROM links),
+        reach AS (
+            SELECT doc_id AS u, doc_id AS v FROM documents
+            UNION
+            SELECT r.u, b.v FROM reach r JOIN both_ways b ON r.v = b.u)
+        SELECT d.doc_id, coalesce(any_value(len(s.grams)), 0) AS n_shingles, min(r.v) AS component_id
+        FROM documents d JOIN reach r ON r.u = d.doc_id LEFT JOIN s ON s.doc_id = d.doc_id GROUP BY d.doc_id
+    """,
     "op10_exact_dedup": """
         WITH t AS (
             SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS norm

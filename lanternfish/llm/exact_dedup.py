@@ -95,6 +95,7 @@ def _with_ordinals(texts: DataFrame, bad: DataFrame, ident) -> DataFrame:
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of ``docs`` that stay, with their columns. See :func:`exact_groups`."""
-    stay = exact_groups(docs, id_col, **options).filter("kept").select(F.col("doc_id").alias("stay_id"), F.lit(True)).select("stay_id").distinct()
-    return docs.join(stay, F.col(id_col).eqNullSafe(F.col("stay_id")), "left_semi")
+    """The rows of ``docs`` that stay, with their columns; of rows that repeat the id that stays, one. See :func:`exact_groups`."""
+    stay = cut(exact_groups(docs, id_col, **options).filter("kept").groupBy(F.col("doc_id").alias("stay_id")).agg(F.count(F.lit(1)).alias("stay_rows")))
+    found = docs.join(stay.select("stay_id"), F.col(id_col).eqNullSafe(F.col("stay_id")), "left_semi")
+    return found if stay.filter("stay_rows > 1").isEmpty() else found.dropDuplicates([id_col])

@@ -6,9 +6,10 @@ which is found at once as the divisor at which the rounded quotients sum to the
 number of seats. A source's quota is apportioned among its shards in the same
 way, by their words. Within a shard, documents lie in a seeded order on a line
 of words cut into blocks; a quota of q blocks over n takes every block q // n
-times and q % n of them, evenly spaced from a seeded start, once more. What a
-document gives follows from its stretch of the line by arithmetic, so that no
-block is ever a row.
+times and q % n of them, one after the other (round the line's end) from a
+seeded start, once more. What a document gives follows from its stretch of the
+line by arithmetic, so that no block is ever a row, and all documents but those
+at the ends of a run are taken whole.
 """
 
 from __future__ import annotations
@@ -105,15 +106,16 @@ def mix(
     shard_rows: int = 1000,
     most_shards: int = 1024,
 ) -> DataFrame:
-    """One row per row of ``docs``: doc_id, size, source_size, target, taken, source, copies.
+    """One row per row of ``docs``: doc_id, size, source_size, target, taken, source, passes, spans.
 
     Sources in the order of their code points, null last, have the weights in
     turn and share as many words as there are. A source's target is at most
     ``most_times`` its words. taken is the number of the document's words in
-    the mix, at most ``most_times`` its size; copies is taken / size.
+    the mix, at most ``most_times`` its size: the whole text ``passes`` times,
+    and the words of each of the ``spans`` (first, last exclusive) once more.
 
     A source differs from its target by about a block a shard at most. A null
-    or empty text takes no part and has taken 0 and copies 0. Equal rows lie
+    or empty text takes no part and has taken 0. Equal rows lie
     side by side on the line. No rows give no rows; other columns are ignored.
     A source is dealt into a shard for each ``shard_rows`` rows, ``most_shards``
     at most, so the plan that is broadcast has at most that many rows a source;
@@ -135,24 +137,41 @@ def mix(
     lines = lines.join(plan, F.col("src").eqNullSafe(F.col("at")) & (F.col("shard") == F.col("at_shard"))).drop("at", "at_shard")
     start = F.pmod(F.xxhash64(F.lit(seed), F.lit("start"), F.col("src"), F.col("shard")), F.greatest(F.col("blocks"), F.lit(1)))
 
-    def below(block_no: Column) -> Column:
-        """How many of the evenly spaced blocks come before the block."""
-        return F.expr("0L") + F.floor((block_no * F.col("extra") + start) / F.greatest(F.col("blocks"), F.lit(1)))
+    # The blocks taken once more: from start up to the line's end, then from its beginning.
+    stop = F.least(start + F.col("extra"), F.col("blocks"))
+    runs = [(F.lit(0).cast("long"), F.greatest(start + F.col("extra") - F.col("blocks"), F.lit(0))), (start, stop)]
 
-    def words(point: Column) -> Column:
-        """Words before the point that lie in those blocks."""
-        whole = F.floor(point / block)
-        return below(whole) * block + (below(whole + 1) - below(whole)) * (point - whole * block)
+    def span(first: Column, last: Column) -> Column:
+        """The document's words, counted from 0, that lie in a run of blocks."""
+        return F.struct((F.greatest(first * block, F.col("from")) - F.col("from")).alias("first"), (F.least(last * block, F.col("to")) - F.col("from")).alias("last"))
 
-    taken = F.col("passes") * F.col("size") + words(F.col("to")) - words(F.col("from"))
-    out = lines.withColumn("taken", F.when(F.col("size") > 0, taken).otherwise(0).cast("long"))
-    return _columns(out)
+    spans = F.filter(F.array(*[span(*run) for run in runs]), lambda s: s["first"] < s["last"])
+    lines = lines.withColumn("spans", F.when(F.col("size") > 0, spans).otherwise(F.array().cast("array<struct<first:bigint,last:bigint>>")))
+    more = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["last"] - s["first"])
+    passes = F.when(F.col("size") > 0, F.col("passes")).otherwise(0)
+    return _columns(lines.withColumn("passes", passes).withColumn("taken", passes * F.col("size") + more))
 
 
 def _columns(rows: DataFrame) -> DataFrame:
-    copies = F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(0.0)
-    return rows.select("doc_id", "size", "source_size", "target", "taken", F.col("src").alias("source"), copies.alias("copies"))
+    return rows.select("doc_id", "size", "source_size", "target", F.col("taken").cast("long").alias("taken"), F.col("src").alias("source"), F.col("passes").cast("long").alias("passes"), "spans")
+
+
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The mix itself, with the columns of ``docs``: each document as often as the mix takes it whole, and the parts taken once more.
+
+    A part has its words joined by spaces; where a part is the whole text it is
+    left as it is. The ids must be unique, and rows without an id aren't taken.
+    """
+    plan = mix(docs, id_col, text_col, **options).filter("taken > 0").select(F.col("doc_id").alias("_at"), F.col("size").alias("_size"), F.col("passes").alias("_passes"), F.col("spans").alias("_spans"))
+    whole = F.struct(F.lit(0).cast("long").alias("first"), F.col("_size").alias("last"))
+    parts = F.concat(F.array_repeat(whole, F.col("_passes").cast("int")), F.col("_spans"))
+    found = docs.join(plan, F.col(id_col) == F.col("_at")).withColumn("_part", F.explode(parts))
+    first, last = F.col("_part.first"), F.col("_part.last")
+    words = F.regexp_extract_all(F.col(text_col), F.lit(WORD), F.lit(0))
+    cut_out = F.array_join(F.slice(words, (first + 1).cast("int"), (last - first).cast("int")), " ")
+    text = F.when((first == 0) & (last == F.col("_size")), F.col(text_col)).otherwise(cut_out)
+    return found.withColumn(text_col, text).select(*docs.columns)
 
 
 def _empty(sized: DataFrame) -> DataFrame:
-    return _columns(sized.selectExpr("doc_id", "src", "size", "0L AS source_size", "0D AS target", "0L AS taken"))
+    return _columns(sized.selectExpr("doc_id", "src", "size", "0L AS source_size", "0D AS target", "0L AS taken", "0L AS passes", "cast(array() AS array<struct<first:bigint,last:bigint>>) AS spans"))

@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .common import held_out, text_or_empty
 from .linear import calibrate, fit_logistic, sigmoid
@@ -38,6 +39,8 @@ THEMES = {
 }
 ADDRESSED = re.compile(r"\byou(?:'re|r| are)?\s+(?:\w+\s+){0,2}(\w+)")
 LETTERS = re.compile(r"[^\W\d_]+")
+#: The name of a column that no input has.
+SCORE = "_toxicity_score"
 #: Lengths of the word beginnings that count as features.
 STEMS = (5, 7)
 #: Voters that share the learnt words, those with the best odds first.
@@ -272,6 +275,23 @@ def _scoring(model):
     return run
 
 
+def _adding(model, text_col: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(text_col)
+            found = pa.array([model.value.score(texts[k].as_py() or "")[0] for k in range(batch.num_rows)], pa.float64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, found], [*batch.schema.names, SCORE])
+
+    return run
+
+
+def clean_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7, most: int = 5000) -> DataFrame:
+    """The rows of ``docs`` that score below the threshold, with their columns, where they are. See :func:`toxicity`."""
+    model = docs.sparkSession.sparkContext.broadcast(fit_toxicity(*labelled_sample(docs, labels, "toxic", most, id_col, text_col)))
+    schema = StructType([*docs.schema.fields, StructField(SCORE, DoubleType())])
+    return docs.mapInArrow(_adding(model, text_col), schema).filter(F.col(SCORE) < threshold).drop(SCORE)
+
+
 def toxicity(
     docs: DataFrame,
     labels: DataFrame,

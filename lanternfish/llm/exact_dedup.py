@@ -94,8 +94,12 @@ def _with_ordinals(texts: DataFrame, bad: DataFrame, ident) -> DataFrame:
     return cut(found.select("doc_id", "text_sha256", F.concat("recipe", F.coalesce("ordinals", F.array().cast("array<bigint>"))).alias("recipe")))
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of ``docs`` that stay, with their columns; of rows that repeat the id that stays, one. See :func:`exact_groups`."""
-    stay = cut(exact_groups(docs, id_col, **options).filter("kept").groupBy(F.col("doc_id").alias("stay_id")).agg(F.count(F.lit(1)).alias("stay_rows")))
-    found = docs.join(stay.select("stay_id"), F.col(id_col).eqNullSafe(F.col("stay_id")), "left_semi")
-    return found if stay.filter("stay_rows > 1").isEmpty() else found.dropDuplicates([id_col])
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``docs`` that stay, with their columns; of rows that repeat the id and text that stay, one. See :func:`exact_groups`."""
+    stay = exact_groups(docs, id_col, text_col, **options).filter("kept")
+    stay = cut(stay.groupBy(F.col("doc_id").alias("_stay_id"), F.col("text_sha256").alias("_stay_sha")).agg(F.count(F.lit(1)).alias("_rows")))
+    rows = docs.withColumn("_sha", F.sha2(ascii_lower(text_or_empty(text_col)), 256))
+    found = rows.join(stay, F.col(id_col).eqNullSafe(F.col("_stay_id")) & (F.col("_sha") == F.col("_stay_sha")), "left_semi")
+    if not stay.filter("_rows > 1").isEmpty():
+        found = found.dropDuplicates([id_col, "_sha"])
+    return found.drop("_sha")

@@ -86,7 +86,9 @@ class LanguageModel:
                 row[at] += n
                 held[w] = held.get(w, 0) + 1
         listed = sorted(counts)
-        total = np.array([counts[w] for w in listed]).reshape(-1, len(names))
+        if not listed:
+            return cls([], {}, np.zeros((0, 0), np.float32), [])
+        total = np.array([counts[w] for w in listed]).reshape(len(listed), len(names))
         often = np.array([held[w] for w in listed]) >= least
         order = np.lexsort((np.arange(len(listed)), -total.sum(1)))
         chosen = [i for i in order[often[order]].tolist()][:most_words]
@@ -114,6 +116,8 @@ class LanguageModel:
     def score_words(self, words: list[str]) -> np.ndarray:
         """A row of scores for each word."""
         found = np.zeros((len(words), len(self.langs)), np.float32)
+        if not self.langs:
+            return found
         places = np.array([self.words.get(w, -1) for w in words], np.int64)
         if len(self.word_scores):
             found[places >= 0] = self.word_scores[places[places >= 0]]

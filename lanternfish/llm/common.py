@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -47,6 +48,38 @@ def fresh_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """The same rows as a Parquet table in the shared folder, of which each reader takes the columns that it needs."""
+    path = fresh_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Has Spark delete the shuffle files of plans that nothing refers to any more, rather than when the driver's heap happens to fill."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def id_filter(ids: DataFrame, id_col: str, bits: int) -> DataFrame:
+    """word, marks: a bitmap over the hashes of ids, modulo 2 ** bits, by words of 32 bits. At most 2 ** (bits - 5) rows."""
+    place = F.pmod(F.xxhash64(id_col), F.lit(1 << bits)).cast("int")
+    marked = ids.select(place.alias("p")).select(F.shiftrightunsigned("p", 5).alias("word"), F.expr("shiftleft(1L, p & 31)").alias("bit"))
+    return marked.groupBy("word").agg(F.bit_or("bit").alias("marks"))
+
+
+def without(rows: DataFrame, ids: DataFrame, id_col: str, bits: int = 22) -> DataFrame:
+    """``rows`` but those whose id is among ``ids`` (one column of that name, no nulls). Only rows whose id the filter of fixed size marks are shuffled."""
+    words = F.broadcast(id_filter(ids, id_col, bits).withColumnsRenamed({"word": "_word", "marks": "_marks"}))
+    place = F.pmod(F.xxhash64(id_col), F.lit(1 << bits)).cast("int")
+    looked = rows.withColumn("_place", place).join(words, F.shiftrightunsigned("_place", 5) == F.col("_word"), "left")
+    marked = F.coalesce(F.expr("shiftright(_marks, _place & 31) & 1"), F.lit(0)) == 1
+    extra = ["_place", "_word", "_marks"]
+    gone = ids.select(F.col(id_col).alias("_gone"))
+    again = looked.filter(marked).drop(*extra).join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    return looked.filter(~marked).drop(*extra).unionByName(again)
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 

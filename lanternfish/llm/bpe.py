@@ -24,11 +24,11 @@ from pyspark.sql import functions as F
 from .common import text_or_empty
 
 #: Pre-tokens that a worker remembers when it begins a batch, at most.
-REMEMBERED = 500_000
+REMEMBERED = 300_000
 #: Pre-tokens of up to so many bytes are merged together, where there are so many.
 SHORT, MANY = 64, 10_000
 #: Bytes of text that are worked on together, but for one text.
-WORK_BYTES = 32_000_000
+WORK_BYTES = 10_000_000
 #: An output batch ends when its text has this many bytes.
 BATCH_BYTES = 4_000_000
 
@@ -170,12 +170,12 @@ class Pairs:
         }
         self.shift, self.none = shift, shift - 1  # none: a token that makes no pair
         self.keys = np.array([*sorted(found), 1 << 62], np.int64)
-        self.made = np.array([*(found[k] for k in sorted(found)), -1], np.int64)
+        self.made = np.array([*(found[k] for k in sorted(found)), -1], np.int32)
 
     def look(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        key = left * self.shift + right
+        key = np.int64(self.shift) * left + right
         at = self.keys.searchsorted(key)
-        return np.where(self.keys[at] == key, self.made[at], -1)
+        return np.where(self.keys[at] == key, self.made[at], np.int32(-1))
 
 
 def merge_many(pieces: list[bytes], ranks: dict[bytes, int], pairs: Pairs, queue: RankQueue) -> list[list[int]]:
@@ -186,15 +186,15 @@ def merge_many(pieces: list[bytes], ranks: dict[bytes, int], pairs: Pairs, queue
     """
     lengths = np.array([len(p) for p in pieces])
     n = int(lengths.sum())
-    owner = np.repeat(np.arange(len(pieces)), lengths)
-    single = np.array([ranks.get(bytes([b]), -1) for b in range(256)], np.int64)
-    token = np.append(single[np.frombuffer(b"".join(pieces), np.uint8)], pairs.none)  # place n stands for the end
+    owner = np.repeat(np.arange(len(pieces), dtype=np.int32), lengths)
+    single = np.array([ranks.get(bytes([b]), -1) for b in range(256)], np.int32)
+    token = np.append(single[np.frombuffer(b"".join(pieces), np.uint8)], np.int32(pairs.none))  # place n stands for the end
     if (token[:n] < 0).any():
         raise KeyError("a byte has no rank")
     last = np.cumsum(lengths) - 1
-    after, before = np.arange(1, n + 2), np.arange(-1, n)
+    after, before = np.arange(1, n + 2, dtype=np.int32), np.arange(-1, n, dtype=np.int32)
     after[last], before[last - lengths + 1] = n, n
-    pair = np.append(pairs.look(token[:-1], token[after[:-1]]), -1)
+    pair = np.append(pairs.look(token[:-1], token[after[:-1]]), np.int32(-1))
 
     def push(places, made):
         known = made >= 0
@@ -211,7 +211,7 @@ def merge_many(pieces: list[bytes], ranks: dict[bytes, int], pairs: Pairs, queue
         if len(made):
             queue.push(int(made[0]), places)
 
-    push(np.arange(n), pair[:-1])
+    push(np.arange(n, dtype=np.int32), pair[:-1])
     while queue.top:
         rank, bucket = queue.take_first()
         at = bucket[0] if len(bucket) == 1 else np.concatenate(bucket)

@@ -18,13 +18,13 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None,
     w = np.zeros(x.shape[1])
 
     def loss(w: np.ndarray) -> float:
-        z = np.clip(x @ w, -35, 35)
+        z = np.clip((x @ w.astype(x.dtype)).astype(float), -35, 35)
         return float((weight * (np.logaddexp(0, z) - y * z)).sum() + (penalty * w * w).sum() / 2)
 
     now = loss(w)
     for _ in range(steps):
-        p = sigmoid(x @ w)
-        slope = x.T @ (weight * (p - y)) + penalty * w
+        p = sigmoid((x @ w.astype(x.dtype)).astype(float))  # no wide copy of x
+        slope = x.T @ (weight * (p - y)).astype(x.dtype) + penalty * w
         curve = (x * (weight * np.maximum(p * (1 - p), 1e-6)).astype(x.dtype)[:, None]).T @ x
         step = np.linalg.solve(curve.astype(float) + np.diag(penalty + 1e-9), slope)
         rate = 1.0

@@ -285,7 +285,7 @@ def _adding(model, text_col: str):
     return run
 
 
-def clean_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7, most: int = 5000) -> DataFrame:
+def clean_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7, most: int = 4000) -> DataFrame:
     """The rows of ``docs`` that score below the threshold, with their columns, where they are. See :func:`toxicity`."""
     model = docs.sparkSession.sparkContext.broadcast(fit_toxicity(*labelled_sample(docs, labels, "toxic", most, id_col, text_col)))
     schema = StructType([*docs.schema.fields, StructField(SCORE, DoubleType())])
@@ -298,7 +298,7 @@ def toxicity(
     id_col: str = "doc_id",
     text_col: str = "text",
     threshold: float = 0.7,
-    most: int = 5000,
+    most: int = 4000,
 ) -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out, score, predicted, n_votes.
 

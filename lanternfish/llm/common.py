@@ -61,6 +61,28 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def trimmed(run):
+    """``run``, a function from Arrow batches to Arrow batches, after which the Python worker, which waits for other tasks, gives its free memory back."""
+
+    def wrapped(batches):
+        import ctypes
+        import gc
+
+        import pyarrow
+
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pyarrow.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (AttributeError, OSError):
+                pass  # another C library, which has its own ways
+
+    return wrapped
+
+
 def id_filter(ids: DataFrame, id_col: str, bits: int) -> DataFrame:
     """word, marks: a bitmap over the hashes of ids, modulo 2 ** bits, by words of 32 bits. At most 2 ** (bits - 5) rows."""
     place = F.pmod(F.xxhash64(id_col), F.lit(1 << bits)).cast("int")

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import held_out, text_or_empty
+from .common import held_out, text_or_empty, trimmed
 from .linear import calibrate, fit_logistic, sigmoid
 from .sampling import of_each_class
 
@@ -289,7 +289,7 @@ def clean_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     """The rows of ``docs`` that score below the threshold, with their columns, where they are. See :func:`toxicity`."""
     model = docs.sparkSession.sparkContext.broadcast(fit_toxicity(*labelled_sample(docs, labels, "toxic", most, id_col, text_col)))
     schema = StructType([*docs.schema.fields, StructField(SCORE, DoubleType())])
-    return docs.mapInArrow(_adding(model, text_col), schema).filter(F.col(SCORE) < threshold).drop(SCORE)
+    return docs.mapInArrow(trimmed(_adding(model, text_col)), schema).filter(F.col(SCORE) < threshold).drop(SCORE)
 
 
 def toxicity(
@@ -314,5 +314,5 @@ def toxicity(
     model = docs.sparkSession.sparkContext.broadcast(fit_toxicity(*labelled_sample(docs, labels, "toxic", most, id_col, text_col)))
     rows = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    scored = rows.mapInArrow(_scoring(model), f"doc_id {kind}, score double, n_votes int")
+    scored = rows.mapInArrow(trimmed(_scoring(model)), f"doc_id {kind}, score double, n_votes int")
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "n_votes")

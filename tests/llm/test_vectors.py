@@ -73,3 +73,16 @@ def test_recall_at_the_threshold(spark):
     rows = [(i, v) for i, v in enumerate(np.concatenate([a, b, unit(rng.normal(size=(1000, 64)))]).tolist())]
     linked = {i for i, n, *_ in got(frame(spark, rows)) if n}
     assert sum(i in linked for i in range(400)) >= 0.95 * 400
+
+
+@pytest.mark.parametrize("block", [2048, 64])
+def test_all_links_of_a_near_copy_group_of_a_third_of_the_rows(spark, block):
+    """The group's pairs have cosine about 0.93, some on either side of 0.9."""
+    rng = np.random.default_rng(3)
+    group = rng.normal(size=64) + 0.27 * rng.normal(size=(300, 64))
+    rows = list(enumerate(np.concatenate([group, rng.normal(size=(600, 64))]).tolist()))
+    x = np.array([v for _, v in rows], np.float32).astype(float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    want = (x @ x.T >= 0.9).sum(1) - 1
+    assert 0.5 * 300 * 299 < want.sum() < 300 * 299
+    assert {i: n for i, n, *_ in got(frame(spark, rows), block=block)} == dict(enumerate(want.tolist()))

@@ -19,28 +19,83 @@ from lanternfish.operators.topk import nearest
 BROADCAST_BYTES = 32 << 20
 
 
+#: A matrix of queries and base points has at most so many entries, or one row.
+ENTRIES = 1 << 22
+
+#: So many pairs are measured and ordered at a time.
+PAIRS = 1 << 20
+
+
+def _few_copies(ids, vectors, most: int):
+    """The rows by id, but those of a vector beyond its ``most`` least ids: copies are equally near to all, so none of the others comes in."""
+    import numpy as np
+
+    seen: dict[bytes, tuple[int, int]] = {}
+    chosen = []
+    for at in np.argsort(ids, kind="stable").tolist():
+        key = (vectors[at] + 0.0).tobytes()
+        n, last = seen.get(key, (0, None))
+        if n < most and ids[at] != last:
+            seen[key] = n + 1, ids[at]
+            chosen.append(at)
+    return ids[chosen], vectors[chosen]
+
+
+def _same(ids, b_ids):
+    """Places in the matrix of queries and base points, in ascending order, whose ids are the same."""
+    import numpy as np
+
+    if (b_ids[1:] == b_ids[:-1]).any():
+        return np.nonzero(ids[:, None] == b_ids[None, :])
+    at = np.minimum(np.searchsorted(b_ids, ids), len(b_ids) - 1)
+    own = np.flatnonzero(b_ids[at] == ids)
+    return own, at[own]
+
+
 def _block_function(k: int, include_self: bool, same: bool):
+    def measured(ids, q, b_ids, b, may, first):
+        """The k nearest, by distance and id, among the base points that each query from ``first`` on may have."""
+        import numpy as np
+
+        i, j = np.nonzero(may)
+        i += first
+        exact = np.empty(len(i))
+        for a in range(0, len(i), 1 << 16):
+            at = slice(a, a + (1 << 16))
+            exact[at] = ((q[i[at]] - b[j[at]]) ** 2).sum(1)
+        order = np.lexsort((b_ids[j], exact, i))
+        i, j, exact = i[order], j[order], exact[order]
+        good = (np.arange(len(i)) - np.searchsorted(i, i) < k) & np.isfinite(exact)
+        return ids[i[good]], b_ids[j[good]], exact[good]
+
     def top(q_ids, q, b_ids, b):
         import numpy as np
 
-        out = []
-        for a in range(0, len(q_ids), 1024):
-            ids, part = q_ids[a : a + 1024], q[a : a + 1024]
-            rough = (part * part).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * part @ b.T
+        squares = (b * b).sum(1)
+        if not np.isfinite(squares).all():
+            b_ids, b, squares = (x[np.isfinite(squares)] for x in (b_ids, b, squares))
+        if not len(b_ids):
+            return [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+        doubled = np.concatenate([-2 * b, squares[:, None]], 1).T
+        groups = min(len(b_ids), max(1024, 64 * k))
+        out, step = [], max(1, min(1024, ENTRIES // len(b_ids)))
+        for a in range(0, len(q_ids), step):
+            ids, part = q_ids[a : a + step], q[a : a + step]
+            rough = np.concatenate([part, np.ones((len(part), 1))], 1) @ doubled  # less the query's own square
             if same and not include_self:
-                rough[ids[:, None] == b_ids[None, :]] = np.inf
-            if same and include_self:
-                rough[ids[:, None] == b_ids[None, :]] = -np.inf
-            # Rounding may swap near ties, so a few more are measured exactly.
-            n = min(len(b_ids), k + 8)
-            near = np.argpartition(rough, n - 1, axis=1)[:, :n]
-            exact = ((part[:, None, :] - b[near]) ** 2).sum(2)
-            bad = np.isposinf(np.take_along_axis(rough, near, 1))
-            exact[bad] = np.inf
-            order = np.lexsort((b_ids[near], exact), axis=1)[:, :k]
-            near, exact = np.take_along_axis(near, order, 1), np.take_along_axis(exact, order, 1)
-            good = np.isfinite(exact)
-            out.append((np.repeat(ids, good.sum(1)), b_ids[near][good], exact[good]))
+                rough[_same(ids, b_ids)] = np.inf
+            # The k-th least of the groups' least is no nearer than the k-th. All that may be as near, but for rounding, are measured exactly.
+            least = rough[:, : len(b_ids) // groups * groups].reshape(len(part), -1, groups).min(1)
+            reach = np.partition(least, min(k, groups) - 1, axis=1)[:, min(k, groups) - 1]
+            reach = reach + 8 * (b.shape[1] + 4) * np.finfo(float).eps * ((part * part).sum(1) + squares.max())
+            may = rough <= np.minimum(reach, np.finfo(float).max)[:, None]
+            ends = may.sum(1).cumsum()
+            first = 0
+            while first < len(ids):
+                before = ends[first - 1] if first else 0
+                last = max(first + 1, int(np.searchsorted(ends, before + PAIRS, side="right")))
+                out.append(measured(ids, part, b_ids, b, may[first:last], first))
+                first = last
         return [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
 
     return top
@@ -62,7 +117,7 @@ def _broadcast_map(base, top):
     return run
 
 
-def _block_map(top):
+def _block_map(top, k: int):
     def run(queries, base):
         import numpy as np
         import pyarrow as pa
@@ -70,7 +125,7 @@ def _block_map(top):
         if queries.num_rows and base.num_rows:
             q = np.array(queries.column("vector").to_pylist(), float)
             b = np.array(base.column("vector").to_pylist(), float)
-            found = top(queries.column("id").to_numpy(), q, base.column("id").to_numpy(), b)
+            found = top(queries.column("id").to_numpy(), q, *_few_copies(base.column("id").to_numpy(), b, k + 1))
         else:
             found = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
         return pa.table([pa.array(x) for x in found], names=["id", "neighbor_id", "sq_dist"])
@@ -81,7 +136,7 @@ def _block_map(top):
 def exact_search(base: DataFrame, queries: DataFrame, k: int, include_self: bool = True, same: bool = False, block: int = 8192, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """id, neighbor_id, sq_dist, rank: the ``k`` nearest points of ``base`` (id, vector) for each query (id, vector).
 
-    With ``same`` ids name the same points on both sides, and a point is or isn't its own neighbour as ``include_self`` says.
+    Ties go to the least neighbor_id. With ``same`` ids name the same points on both sides, and a point is or isn't its own neighbour as ``include_self`` says.
     """
     if k < 1:
         raise ValueError("k must be at least 1")
@@ -95,14 +150,14 @@ def exact_search(base: DataFrame, queries: DataFrame, k: int, include_self: bool
         import numpy as np
 
         rows = base.select("id", "vector").toArrow()
-        shared = spark.sparkContext.broadcast((rows.column("id").to_numpy(), np.array(rows.column("vector").to_pylist(), float)))
+        shared = spark.sparkContext.broadcast(_few_copies(rows.column("id").to_numpy(), np.array(rows.column("vector").to_pylist(), float), k + 1))
         return nearest(queries.select("id", "vector").mapInArrow(_broadcast_map(shared, top), schema), k)
     n_base = math.ceil(size["n"] / block)
     n_queries = math.ceil(queries.count() / block)
     q = queries.select("id", "vector", F.pmod(F.xxhash64("id"), F.lit(n_queries)).alias("qb"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_base - 1).cast("long"))).alias("bb"))
     b = base.select("id", "vector", F.pmod(F.xxhash64("id"), F.lit(n_base)).alias("bb"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_queries - 1).cast("long"))).alias("qb"))
     b = b.toDF(*b.columns)  # both sides may come from one table
-    found = q.groupBy("qb", "bb").cogroup(b.groupBy("qb", "bb")).applyInArrow(_block_map(top), schema)
+    found = q.groupBy("qb", "bb").cogroup(b.groupBy("qb", "bb")).applyInArrow(_block_map(top, k), schema)
     return nearest(found, k)
 
 

@@ -43,6 +43,16 @@ def test_exact_graph(points, vectors, how):
     assert set(own) == brute(vectors, 4, True) and all(own[i, i] == 0 for i in range(120))
 
 
+@pytest.mark.parametrize("how", [{}, {"broadcast_bytes": 0, "block": 500}])
+@pytest.mark.parametrize("include_self", [False, True])
+def test_ties_go_to_the_least_ids(spark, how, include_self):
+    """300 copies of one vector, and a grid of whole numbers in which many points are equally near."""
+    rng = np.random.default_rng(6)
+    tied = np.concatenate([np.full((300, 4), 0.1), rng.integers(0, 3, (200, 4)), rng.normal(size=(100, 4))])[rng.permutation(600)]
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(tied)], "id long, vector array<double>")
+    assert set(edges(exact.exact_graph(rows, 4, include_self, **how))) == brute(tied, 4, include_self)
+
+
 def test_exact_search_of_small_and_empty_tables(spark, points):
     assert exact.exact_graph(points.filter("id < 3"), 10).count() == 6
     assert exact.exact_search(points, points.filter("id < 0"), 5).count() == 0

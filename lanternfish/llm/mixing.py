@@ -121,18 +121,31 @@ def mix(
     at most, so the plan that is broadcast has at most that many rows a source;
     the sources themselves, as names with weights, must fit the driver.
     """
-    spark = docs.sparkSession
-    order = F.xxhash64(F.lit(seed), F.col("doc_id"))
-    sized = cut(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("src"), n_words(text_col).alias("size")))
+    sized = cut(_sized(docs, id_col, text_col, source_col))
+    lines = _lines(sized, weights, most_times, block, seed, shard_rows, most_shards)
+    return _empty(sized) if lines is None else _columns(lines)
+
+
+def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str, *more: Column) -> DataFrame:
+    text = text_or_empty(text_col)
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("src"), n_words(text_col).alias("size"), F.xxhash64(text).alias("mark"), *more)
+
+
+def _lines(sized: DataFrame, weights: tuple[int, ...], most_times: int, block: int, seed: int, shard_rows: int, most_shards: int) -> DataFrame | None:
+    """The rows of ``sized`` (doc_id, src, size, mark, and others that are kept) with what the mix takes of each; None if there are none."""
+    spark = sized.sparkSession
+    # Rows without an id are told apart by their texts.
+    key = F.col("doc_id"), F.when(F.col("doc_id").isNull(), F.col("mark"))
+    order = F.xxhash64(F.lit(seed), *key)
     counts = sized.groupBy("src").agg(F.count(F.lit(1)).alias("n")).collect()
     if not counts:
-        return _empty(sized)
+        return None
     dealt = F.broadcast(spark.createDataFrame([(r["src"], min(most_shards, 1 + r["n"] // shard_rows)) for r in counts], "at string, n_shards int"))
     rows = sized.join(dealt, F.col("src").eqNullSafe(F.col("at"))).drop("at")
-    rows = rows.withColumn("order", order).withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), F.lit("shard"), F.col("doc_id")), F.col("n_shards")).cast("int")).drop("n_shards")
+    rows = rows.withColumn("order", order).withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), F.lit("shard"), *key), F.col("n_shards")).cast("int")).drop("n_shards")
     sums = rows.groupBy("src", "shard").agg(F.sum("size").alias("words")).collect()
     plan = F.broadcast(_plan(spark, sums, list(weights), most_times, block).withColumnsRenamed({"src": "at", "shard": "at_shard"}))
-    w = Window.partitionBy("src", "shard").orderBy("order", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    w = Window.partitionBy("src", "shard").orderBy("order", "doc_id", "size", "mark").rowsBetween(Window.unboundedPreceding, 0)
     lines = rows.withColumn("to", F.sum("size").over(w)).withColumn("from", F.col("to") - F.col("size"))
     lines = lines.join(plan, F.col("src").eqNullSafe(F.col("at")) & (F.col("shard") == F.col("at_shard"))).drop("at", "at_shard")
     start = F.pmod(F.xxhash64(F.lit(seed), F.lit("start"), F.col("src"), F.col("shard")), F.greatest(F.col("blocks"), F.lit(1)))
@@ -149,28 +162,41 @@ def mix(
     lines = lines.withColumn("spans", F.when(F.col("size") > 0, spans).otherwise(F.array().cast("array<struct<first:bigint,last:bigint>>")))
     more = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["last"] - s["first"])
     passes = F.when(F.col("size") > 0, F.col("passes")).otherwise(0)
-    return _columns(lines.withColumn("passes", passes).withColumn("taken", passes * F.col("size") + more))
+    return lines.withColumn("passes", passes).withColumn("taken", passes * F.col("size") + more)
 
 
 def _columns(rows: DataFrame) -> DataFrame:
     return rows.select("doc_id", "size", "source_size", "target", F.col("taken").cast("long").alias("taken"), F.col("src").alias("source"), F.col("passes").cast("long").alias("passes"), "spans")
 
 
-def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def mixed_documents(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+    weights: tuple[int, ...] = (5, 2, 1),
+    most_times: int = 3,
+    block: int = 32,
+    seed: int = 0,
+    shard_rows: int = 1000,
+    most_shards: int = 1024,
+) -> DataFrame:
     """The mix itself, with the columns of ``docs``: each document as often as the mix takes it whole, and the parts taken once more.
 
     A part has its words joined by spaces; where a part is the whole text it is
-    left as it is. The ids must be unique, and rows without an id aren't taken.
+    left as it is. Rows without an id and rows that share one are documents of their own.
     """
-    plan = mix(docs, id_col, text_col, **options).filter("taken > 0").select(F.col("doc_id").alias("_at"), F.col("size").alias("_size"), F.col("passes").alias("_passes"), F.col("spans").alias("_spans"))
-    whole = F.struct(F.lit(0).cast("long").alias("first"), F.col("_size").alias("last"))
-    parts = F.concat(F.array_repeat(whole, F.col("_passes").cast("int")), F.col("_spans"))
-    found = docs.join(plan, F.col(id_col) == F.col("_at")).withColumn("_part", F.explode(parts))
-    first, last = F.col("_part.first"), F.col("_part.last")
-    words = F.regexp_extract_all(F.col(text_col), F.lit(WORD), F.lit(0))
+    lines = _lines(_sized(docs, id_col, text_col, source_col, F.struct(*docs.columns).alias("row")), weights, most_times, block, seed, shard_rows, most_shards)
+    if lines is None:
+        return docs.limit(0)
+    whole = F.struct(F.lit(0).cast("long").alias("first"), F.col("size").alias("last"))
+    parts = F.concat(F.array_repeat(whole, F.col("passes").cast("int")), F.col("spans"))
+    found = lines.filter("taken > 0").select("row", "size", F.explode(parts).alias("part"))
+    first, last, text = F.col("part.first"), F.col("part.last"), F.col("row").getField(text_col)
+    words = F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
     cut_out = F.array_join(F.slice(words, (first + 1).cast("int"), (last - first).cast("int")), " ")
-    text = F.when((first == 0) & (last == F.col("_size")), F.col(text_col)).otherwise(cut_out)
-    return found.withColumn(text_col, text).select(*docs.columns)
+    taken = F.when((first == 0) & (last == F.col("size")), text).otherwise(cut_out)
+    return found.select(*[taken.alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def _empty(sized: DataFrame) -> DataFrame:

@@ -82,3 +82,17 @@ def test_the_mix_holds_the_words_that_it_takes(whole):
         assert sum(got[i].values()) == taken
         assert all(n <= 3 * texts[i][w] for w, n in got[i].items())
     assert mixed_documents(whole).columns == whole.columns
+
+
+def test_rows_without_an_id_and_rows_that_share_one_are_taken(spark):
+    """Each row's own words come as often as mix takes them, however many rows have its id."""
+    texts = [(None if i % 3 == 0 else i % 2, " ".join(f"w{i}x{j}" for j in range(50 + i % 4))) for i in range(30)] + [(5, "equal rows " * 30)] * 2
+    docs = spark.createDataFrame([(i, t, ["a", "b"][n % 2], n) for n, (i, t) in enumerate(texts)], "doc_id long, text string, source string, place int")
+    want, got = Counter(), Counter()
+    for r in mix(docs).collect():
+        want[r.doc_id, r.source] += r.taken
+    rows = mixed_documents(docs).collect()
+    for r in rows:
+        got[r.doc_id, r.source] += len(words(r.text))
+        assert set(words(r.text)) <= set(words(texts[r.place][1]))
+    assert got == +want and sum(got.values()) > 0.9 * sum(len(words(t)) for _, t in texts)

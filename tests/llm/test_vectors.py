@@ -86,3 +86,8 @@ def test_all_links_of_a_near_copy_group_of_a_third_of_the_rows(spark, block):
     want = (x @ x.T >= 0.9).sum(1) - 1
     assert 0.5 * 300 * 299 < want.sum() < 300 * 299
     assert {i: n for i, n, *_ in got(frame(spark, rows), block=block)} == dict(enumerate(want.tolist()))
+
+
+def test_a_table_of_two_vectors(spark):
+    rows = [(1, [1.0, 0.0]), (2, [1.0, 0.1])]
+    assert got(frame(spark, rows)) == plain(rows)

@@ -85,7 +85,12 @@ def _plan(spark: SparkSession, shards: list, weights: list[int], most_times: int
     of = {name: sorted((r for r in shards if r["src"] == name), key=lambda r: r["shard"]) for name in names}
     sizes = [sum(r["words"] for r in of[name]) for name in names]
     targets = targets_of(sizes, [weights[i % len(weights)] for i in range(len(names))], sum(sizes), most_times)
-    seats = sainte_lague(targets, round(Fraction(sum(sizes), block)), [most_times * sum(-(-r["words"] // block) for r in of[name]) for name in names])
+    n_blocks = [sum(-(-r["words"] // block) for r in of[name]) for name in names]
+    # A source at its cap gets all its seats; the last block of a shard is shorter, so other quotas go by a source's real words a block.
+    full = [s > 0 and t == most_times * s for t, s in zip(targets, sizes, strict=True)]
+    votes = [Fraction(0) if f or not s else t * n / s for t, s, n, f in zip(targets, sizes, n_blocks, full, strict=True)]
+    others = sainte_lague(votes, round(sum(votes)), [most_times * n for n in n_blocks])
+    seats = [most_times * n if f else q for f, n, q in zip(full, n_blocks, others, strict=True)]
     rows = []
     for name, size, target, quota in zip(names, sizes, targets, seats, strict=True):
         blocks = [-(-r["words"] // block) for r in of[name]]

@@ -96,3 +96,9 @@ def test_rows_without_an_id_and_rows_that_share_one_are_taken(spark):
         got[r.doc_id, r.source] += len(words(r.text))
         assert set(words(r.text)) <= set(words(texts[r.place][1]))
     assert got == +want and sum(got.values()) > 0.9 * sum(len(words(t)) for _, t in texts)
+
+
+def test_small_sources_at_their_cap_are_taken_three_times(spark):
+    docs = spark.createDataFrame([(i, " ".join(["w"] * n), s) for i, (s, n) in enumerate([("a", 10), ("b", 40), ("c", 100), ("d", 5000)])], "doc_id long, text string, source string")
+    taken = {r.source: r.taken for r in mix(docs).collect()}
+    assert (taken["a"], taken["b"], taken["c"]) == (30, 120, 300) and abs(taken["d"] - 4700) <= 32

@@ -176,6 +176,11 @@ def _scoring(model):
     return run
 
 
+def _drawn(rows: np.ndarray, most: int) -> np.ndarray:
+    """At most ``most`` of the rows, drawn from all over them, in their order."""
+    return rows[np.sort(np.random.default_rng(0).permutation(len(rows))[:most])]
+
+
 def quality(
     docs: DataFrame,
     labels: DataFrame,
@@ -218,7 +223,8 @@ def quality(
     x = np.array(made["x"].tolist(), float).reshape(-1, N_CONTENT + N_METADATA)
     given = made["label"].notna().to_numpy()
     y = made["label"].to_numpy(float)[given]
-    model = CoTraining(rounds).fit(x[given][:, :N_CONTENT], x[given][:, N_CONTENT:], y, x[~given][:pool][:, :N_CONTENT], x[~given][:pool][:, N_CONTENT:])
+    drawn = _drawn(x[~given], pool)
+    model = CoTraining(rounds).fit(x[given][:, :N_CONTENT], x[given][:, N_CONTENT:], y, drawn[:, :N_CONTENT], drawn[:, N_CONTENT:])
     shared = spark.sparkContext.broadcast(model)
     scored = rows.mapInArrow(_scoring(shared), f"doc_id {kind}, content_score double, metadata_score double, score double")
     return scored.select("doc_id", held_out().alias("held_out"), "content_score", "metadata_score", "score", (F.col("score") >= threshold).cast("int").alias("predicted"), (F.col("score") >= threshold).alias("kept"))

@@ -141,3 +141,12 @@ def test_unseen_words_back_off():
     en, de = model.langs.index("en"), model.langs.index("de")
     assert scores[0, en] > scores[0, de] and scores[1, de] > scores[1, en] and scores[2, de] > scores[2, en]
     assert (scores[3] == 0).all()
+
+
+def test_the_pool_is_drawn_from_all_ids():
+    from lanternfish.llm.quality import _drawn
+
+    rows = np.arange(12_000)[:, None]
+    drawn = _drawn(rows, 4000)
+    assert len(drawn) == 4000 and 0.3 < (drawn >= 8000).mean() < 0.37
+    assert (_drawn(rows, 20_000) == rows).all()

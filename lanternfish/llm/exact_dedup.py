@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import ascii_lower, cut, text_or_empty
+from .common import ascii_lower, cut, free, halved_by, named, text_or_empty
 
 #: Chunks end behind a punctuation mark and white space, or behind a line.
 BOUNDARY = r"[.!?;:]\s|\n"
@@ -95,11 +95,24 @@ def _with_ordinals(texts: DataFrame, bad: DataFrame, ident) -> DataFrame:
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` that stay, with their columns; of rows that repeat the id and text that stay, one. See :func:`exact_groups`."""
-    stay = exact_groups(docs, id_col, text_col, **options).filter("kept")
-    stay = cut(stay.groupBy(F.col("doc_id").alias("_stay_id"), F.col("text_sha256").alias("_stay_sha")).agg(F.count(F.lit(1)).alias("_rows")))
-    rows = docs.withColumn("_sha", F.sha2(ascii_lower(text_or_empty(text_col)), 256))
-    found = rows.join(stay, F.col(id_col).eqNullSafe(F.col("_stay_id")) & (F.col("_sha") == F.col("_stay_sha")), "left_semi")
-    if not stay.filter("_rows > 1").isEmpty():
-        found = found.dropDuplicates([id_col, "_sha"])
-    return found.drop("_sha")
+    """The rows of ``docs`` that stay, with their columns; of rows that repeat the id and text that stay, one. See :func:`exact_groups`.
+
+    Only rows whose id the filter of ids that go, or repeat, marks are shuffled.
+    """
+    groups = exact_groups(docs, id_col, text_col, **options)
+    ident, sha, own_sha, rows = (free(docs.columns, x) for x in ("ident", "sha", "own_sha", "rows"))
+    fate = groups.groupBy(F.col("doc_id").alias(ident), F.col("text_sha256").alias(sha)).agg(F.first("kept").alias("kept"), F.count(F.lit(1)).alias(rows))
+    fate = cut(fate.filter(~F.col("kept") | (F.col(rows) > 1)))
+    counts = fate.agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("kept"), 1)).alias("again")).first()
+    clear, marked = halved_by(docs, fate.select(F.col(ident).alias(id_col)), id_col, counts["n"])
+    marked = marked.withColumn(sha, F.sha2(ascii_lower(text_or_empty(text_col)), 256))
+
+    def at(which: DataFrame, how: str) -> DataFrame:
+        keys = which.select(ident, F.col(sha).alias(own_sha))
+        return marked.join(keys, named(id_col).eqNullSafe(F.col(ident)) & (F.col(sha) == F.col(own_sha)), how)
+
+    stay = at(fate, "left_anti")
+    if counts["again"]:
+        stay = stay.unionByName(at(fate.filter("kept"), "left_semi").dropDuplicates([id_col, sha]))
+    stay = stay.drop(sha)
+    return stay if clear is None else clear.unionByName(stay)

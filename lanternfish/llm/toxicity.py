@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import held_out, text_or_empty, trimmed
+from .common import cut, held_out, named, text_or_empty, trimmed
 from .linear import calibrate, fit_logistic, sigmoid
 from .sampling import of_each_class
 
@@ -39,8 +39,6 @@ THEMES = {
 }
 ADDRESSED = re.compile(r"\byou(?:'re|r| are)?\s+(?:\w+\s+){0,2}(\w+)")
 LETTERS = re.compile(r"[^\W\d_]+")
-#: The name of a column that no input has.
-SCORE = "_toxicity_score"
 #: Lengths of the word beginnings that count as features.
 STEMS = (5, 7)
 #: Voters that share the learnt words, those with the best odds first.
@@ -62,11 +60,14 @@ def near_hashes(text: str) -> list[int]:
 
 
 def unlike(texts: list[str]) -> list[int]:
-    """Places of texts that are no copies or near copies of texts before them: none of their near hashes has come up."""
+    return unlike_hashes([near_hashes(t) for t in texts])
+
+
+def unlike_hashes(near: list) -> list[int]:
+    """Places of the near hashes of texts that are no copies or near copies of texts before them: none of their hashes has come up."""
     seen: list[set[int]] = [set() for _ in range(4)]
     found = []
-    for place, text in enumerate(texts):
-        least = near_hashes(text)
+    for place, least in enumerate(near):
         if not any(x in s for x, s in zip(least, seen, strict=True)):
             found.append(place)
         for x, s in zip(least, seen, strict=True):
@@ -74,7 +75,7 @@ def unlike(texts: list[str]) -> list[int]:
     return found
 
 
-def _marked(toxic: Counter, clean: Counter, n_toxic: int, n_clean: int, chance: float, least: int) -> dict[str, float]:
+def _marked(toxic: dict[str, int], clean: dict[str, int], n_toxic: int, n_clean: int, chance: float, least: int) -> dict[str, float]:
     """Items in more toxic documents than chance gives, with their log odds."""
     share, found = n_toxic / max(1, n_toxic + n_clean), {}
     for item, t in toxic.items():
@@ -212,57 +213,126 @@ class ToxicityModel:
         return float(sigmoid(self.slope[0] * z + self.slope[1])), int((votes == 1).sum())
 
 
-def fit_toxicity(texts: list[str], labels: np.ndarray, most_features: int = 1500) -> ToxicityModel:
-    """Fits on labelled texts, of copies the first. The labels serve to find words and beginnings, for the share of toxic texts and to calibrate."""
-    labels = np.asarray(labels, np.int64)
-    first = unlike(texts)
-    texts, labels = [texts[i] for i in first], labels[first]
-    if not len(labels) or labels.min() == labels.max():
-        lexicon = Lexicon({}, {}, [])
-        weights = np.zeros(9)
-        weights[0], weights[1], weights[-1] = 2.5, 0.0, -4.0
-        return ToxicityModel(lexicon, weights, np.array([1.0, 0.0]))
-    counts = [Counter(), Counter()]
-    stems = [Counter(), Counter()]
-    for text, label in zip(texts, labels.tolist(), strict=True):
-        own = set(words_of(text))
-        counts[label].update(own)
-        stems[label].update({w[:n] for w in own for n in STEMS if len(w) > n})
-    n1, n0 = int(labels.sum()), int((1 - labels).sum())
-    words = _marked(counts[1], counts[0], n1, n0, 1e-4, 3)
-    begun = _marked(stems[1], stems[0], n1, n0, 1e-5, 4)
-    ranked = sorted(words, key=lambda w: -counts[1][w] * words[w])
-    words = {w: words[w] for w in ranked[: 2 * most_features]}
-    begun = {s: begun[s] for s in sorted(begun, key=lambda s: -stems[1][s] * begun[s])[:most_features]}
-    vocabulary = sorted({*ranked[:most_features], *list(begun)[: most_features // 3]})
-    lexicon = Lexicon(words, begun, vocabulary)
-    looks = [lexicon.look(t) for t in texts]
+def learnt_words(n_toxic: int, n_clean: int, toxic: Counter, clean: Counter, toxic_stems: Counter, clean_stems: Counter, most_words: int, most_stems: int, most_features: int) -> Lexicon:
+    """The lexicon of the words and beginnings that mark toxic documents, given in how many documents of either class each is."""
+    words = _marked(toxic, clean, n_toxic, n_clean, 1e-4, 3)
+    begun = _marked(toxic_stems, clean_stems, n_toxic, n_clean, 1e-5, 4)
+    ranked = sorted(words, key=lambda w: (-toxic[w] * words[w], w))
+    stems = sorted(begun, key=lambda s: (-toxic_stems[s] * begun[s], s))[:most_stems]
+    vocabulary = sorted({*ranked[:most_features], *stems[: most_features // 3]})
+    return Lexicon({w: words[w] for w in ranked[:most_words]}, {s: begun[s] for s in stems}, vocabulary)
+
+
+def no_labels() -> ToxicityModel:
+    """The model of the given word lists alone."""
+    weights = np.zeros(9)
+    weights[0], weights[1], weights[-1] = 2.5, 0.0, -4.0
+    return ToxicityModel(Lexicon({}, {}, []), weights, np.array([1.0, 0.0]))
+
+
+def fit_looks(lexicon: Lexicon, looks: list[tuple], labels: np.ndarray) -> ToxicityModel:
+    """Fits on what the lexicon sees in the labelled texts. The labels serve for the share of toxic texts and to calibrate."""
     votes = np.array([v for v, _, _ in looks])
-    model = LabelModel(n1 / (n1 + n0))
+    model = LabelModel(labels.mean())
     posterior = model.fit(votes)
-    x = np.zeros((len(texts), len(vocabulary) + len(looks[0][2])), np.float32)
+    n = len(lexicon.column)
+    x = np.zeros((len(looks), n + len(looks[0][2])), np.float32)
     for i, (_, columns, dense) in enumerate(looks):
         x[i, columns] = 1
-        x[i, len(vocabulary) :] = dense
+        x[i, n:] = dense
     weights = fit_logistic(x, posterior, ridge=2.0, steps=12)
-    z = x @ weights[:-1] + weights[-1]
-    found = ToxicityModel(lexicon, weights, calibrate(z, labels))
+    found = ToxicityModel(lexicon, weights, calibrate(x @ weights[:-1] + weights[-1], labels))
     found.label_model = model
     return found
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int, id_col: str = "doc_id", text_col: str = "text"):
-    """Texts and labels, on the driver, of about ``most`` documents of each class among those that may be learnt from.
+def words_and_stems(text: str) -> tuple[set[str], set[str]]:
+    own = set(words_of(text))
+    return own, {w[:n] for w in own for n in STEMS if len(w) > n}
+
+
+def fit_toxicity(texts: list[str], labels: np.ndarray, most_words: int = 3000, most_stems: int = 1500, most_features: int = 1500) -> ToxicityModel:
+    """Fits on labelled texts at hand, of copies the first. :func:`fit_documents` does the same where texts are."""
+    labels = np.asarray(labels, np.int64)
+    first = unlike(texts)
+    texts, labels = [texts[i] for i in first], labels[first]
+    if not len(labels) or labels.min() == labels.max():
+        return no_labels()
+    counts = [[Counter(), Counter()], [Counter(), Counter()]]
+    for text, label in zip(texts, labels.tolist(), strict=True):
+        for held, own in zip(counts, words_and_stems(text), strict=True):
+            held[label].update(own)
+    n1 = int(labels.sum())
+    lexicon = learnt_words(n1, len(labels) - n1, counts[0][1], counts[0][0], counts[1][1], counts[1][0], most_words, most_stems, most_features)
+    return fit_looks(lexicon, [lexicon.look(t) for t in texts], labels)
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """at, label, text of about ``most`` documents of each class among those that may be learnt from.
 
     A document with several labels has the largest; of several texts with an id, the last in order counts.
     """
-    known = labels.filter(~held_out(id_col) & F.col(label).isin(0, 1)).groupBy(F.col(id_col).alias("at")).agg(F.max(label).cast("int").alias("label"))
+    known = labels.filter(~held_out(id_col) & F.col(label).isin(0, 1)).groupBy(named(id_col).alias("at")).agg(F.max(label).cast("int").alias("label"))
     chosen = of_each_class(known, most).select("at", "label")
-    texts = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
+    texts = docs.select(named(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
     # About 2 * most ids at most; the join's other side stays where it is.
-    found = texts.join(F.broadcast(chosen), texts["doc_id"] == chosen["at"]).groupBy("at", "label").agg(F.max("text").alias("text"))
-    rows = found.orderBy("at").toPandas()
-    return rows["text"].tolist(), rows["label"].to_numpy(np.int64)
+    return texts.join(F.broadcast(chosen), texts["doc_id"] == chosen["at"]).groupBy("at", "label").agg(F.max("text").alias("text"))
+
+
+def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        near = [near_hashes(t.as_py()) for t in batch.column("text")]
+        hashes = pa.array(np.array(near, np.uint64).reshape(-1).view(np.int64))
+        offsets = pa.array(np.arange(0, len(hashes) + 1, 4, dtype=np.int32))
+        yield pa.RecordBatch.from_arrays([batch.column("at"), batch.column("label"), pa.ListArray.from_arrays(offsets, hashes)], ["at", "label", "near"])
+
+
+def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts within a batch: the item, whether it is a beginning, and the toxic and the clean documents that have it."""
+    for batch in batches:
+        counts: dict[tuple[str, bool], list[int]] = {}
+        for text, label in zip(batch.column("text"), batch.column("label").to_pylist(), strict=True):
+            for stem, own in zip((False, True), words_and_stems(text.as_py()), strict=True):
+                for item in own:
+                    counts.setdefault((item, stem), [0, 0])[label] += 1
+        rows = [(item, stem, n[1], n[0]) for (item, stem), n in counts.items()]
+        for a in range(0, len(rows), 100_000):
+            part = list(zip(*rows[a : a + 100_000], strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(part[0], pa.string()), pa.array(part[1], pa.bool_()), pa.array(part[2], pa.int64()), pa.array(part[3], pa.int64())], ["item", "stem", "toxic", "clean"])
+
+
+def _looking(lexicon):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            looks = [lexicon.value.look(t.as_py()) for t in batch.column("text")]
+            columns = [[v.tolist() for v, _, _ in looks], [c for _, c, _ in looks], [d.tolist() for _, _, d in looks]]
+            kinds = pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.float32())
+            yield pa.RecordBatch.from_arrays([batch.column("at"), batch.column("label"), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], ["at", "label", "votes", "columns", "dense"])
+
+    return run
+
+
+def fit_documents(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, most: int, most_words: int, most_stems: int, most_features: int) -> ToxicityModel:
+    """Fits on a sample of labelled documents. Executors count words and look at texts, so the driver sees counts and numbers only."""
+    sample = cut(labelled_sample(docs, labels, "toxic", most, id_col, text_col))
+    kind = sample.schema["at"].dataType.simpleString()
+    near = sample.mapInArrow(_near, f"at {kind}, label int, near array<long>").toPandas().sort_values("at", kind="stable")
+    chosen = near.iloc[unlike_hashes(near["near"].tolist())]
+    n1 = int(chosen["label"].sum())
+    if not 0 < n1 < len(chosen):
+        return no_labels()
+    ids = sample.sparkSession.createDataFrame([(x,) for x in chosen["at"].tolist()], f"at {kind}")
+    sample = cut(sample.join(F.broadcast(ids), "at"))  # 2 * most ids at most
+    counts = sample.mapInArrow(_items, "item string, stem boolean, toxic long, clean long").groupBy("item", "stem").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    # The least that _marked asks for.
+    odds = (F.col("toxic") + 0.5) / (n1 + 1) / ((F.col("clean") + 0.5) / (len(chosen) - n1 + 1))
+    rows = counts.filter((F.col("toxic") >= 3) & (odds >= 3.99)).toPandas()
+    held = [[dict(zip(part["item"], part[c].tolist(), strict=True)) for c in ("toxic", "clean")] for part in (rows[~rows["stem"]], rows[rows["stem"]])]
+    lexicon = learnt_words(n1, len(chosen) - n1, *held[0], *held[1], most_words, most_stems, most_features)
+    shared = sample.sparkSession.sparkContext.broadcast(lexicon)
+    looks = sample.mapInArrow(_looking(shared), f"at {kind}, label int, votes array<int>, columns array<int>, dense array<float>").toPandas().sort_values("at", kind="stable")
+    triples = [(np.array(v, np.int8), c.tolist() if hasattr(c, "tolist") else c, np.array(d, np.float32)) for v, c, d in zip(looks["votes"], looks["columns"], looks["dense"], strict=True)]
+    return fit_looks(lexicon, triples, looks["label"].to_numpy(np.int64))
 
 
 def _scoring(model):
@@ -280,16 +350,19 @@ def _adding(model, text_col: str):
         for batch in batches:
             texts = batch.column(text_col)
             found = pa.array([model.value.score(texts[k].as_py() or "")[0] for k in range(batch.num_rows)], pa.float64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, found], [*batch.schema.names, SCORE])
+            yield pa.RecordBatch.from_arrays([*batch.columns, found], [*batch.schema.names, "score"])
 
     return run
 
 
-def clean_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7, most: int = 4000) -> DataFrame:
+def clean_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7, most: int = 4000, most_words: int = 3000, most_stems: int = 1500, most_features: int = 1500) -> DataFrame:
     """The rows of ``docs`` that score below the threshold, with their columns, where they are. See :func:`toxicity`."""
-    model = docs.sparkSession.sparkContext.broadcast(fit_toxicity(*labelled_sample(docs, labels, "toxic", most, id_col, text_col)))
-    schema = StructType([*docs.schema.fields, StructField(SCORE, DoubleType())])
-    return docs.mapInArrow(trimmed(_adding(model, text_col)), schema).filter(F.col(SCORE) < threshold).drop(SCORE)
+    model = docs.sparkSession.sparkContext.broadcast(fit_documents(docs, labels, id_col, text_col, most, most_words, most_stems, most_features))
+    # Columns go by their places, as Python workers can't be given all names.
+    rows = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])
+    text = rows.columns[[c.lower() for c in docs.columns].index(text_col.lower())]
+    schema = StructType([*rows.schema.fields, StructField("score", DoubleType())])
+    return rows.mapInArrow(trimmed(_adding(model, text)), schema).filter(F.col("score") < threshold).drop("score").toDF(*docs.columns)
 
 
 def toxicity(
@@ -299,20 +372,25 @@ def toxicity(
     text_col: str = "text",
     threshold: float = 0.7,
     most: int = 4000,
+    most_words: int = 3000,
+    most_stems: int = 1500,
+    most_features: int = 1500,
 ) -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out, score, predicted, n_votes.
 
     ``labels`` has ids and toxic, 0 or 1; those of held-out documents are never
     read. The model is fitted on about ``most`` labelled documents of each class at
-    most, whole texts, and has a bounded size. n_votes is how many voters said toxic.
+    most, whole texts, and has a bounded size: of the words and beginnings that
+    mark toxic documents those with the most evidence, ``most_words`` and
+    ``most_stems``, and ``most_features`` words with a weight of their own. n_votes is how many voters said toxic.
 
     A null text counts as empty and gets a score like any other. A null id is
     not held out. Rows repeat as they come; equal texts have equal scores. No
     rows give no rows. Without labels of both classes the score rests on the
     given word lists alone. Other columns of ``docs`` are ignored.
     """
-    model = docs.sparkSession.sparkContext.broadcast(fit_toxicity(*labelled_sample(docs, labels, "toxic", most, id_col, text_col)))
-    rows = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
+    model = docs.sparkSession.sparkContext.broadcast(fit_documents(docs, labels, id_col, text_col, most, most_words, most_stems, most_features))
+    rows = docs.select(named(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     scored = rows.mapInArrow(trimmed(_scoring(model)), f"doc_id {kind}, score double, n_votes int")
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "n_votes")

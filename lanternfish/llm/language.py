@@ -12,14 +12,16 @@ New words are looked up together, as arrays of n-gram hashes.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import held_out, text_or_empty
+from .common import cut, held_out, named, text_or_empty
 from .sampling import of_each_class
 
 WORD_OF_LETTERS = re.compile(r"[^\W\d_]+")
@@ -61,6 +63,11 @@ def grams(words: list[str], n: int) -> tuple[np.ndarray, np.ndarray]:
     return h[own], owner[: len(h)][own]
 
 
+def budget(n_langs: int, most: int, most_scores: int) -> int:
+    """Items of each language: ``most``, or fewer where the languages are so many that a table with a column for each would hold more than ``most_scores`` numbers."""
+    return max(1, min(most, most_scores // max(1, n_langs) ** 2))
+
+
 class LanguageModel:
     """Log frequencies of words and n-grams by language; of bounded size."""
 
@@ -68,40 +75,45 @@ class LanguageModel:
         self.langs, self.words, self.word_scores, self.tables = langs, words, word_scores, tables
 
     @classmethod
-    def fit(cls, texts: list[str], langs: list[str], least: int = 3, most_words: int = 40_000, most_grams: int = 60_000) -> LanguageModel:
-        """Words in fewer than ``least`` texts count as unseen; of words and n-grams of a length, the most frequent stay."""
+    def of_counts(cls, langs: list[str], words: tuple[list[str], np.ndarray], tables: list[tuple[np.ndarray, np.ndarray]]) -> LanguageModel:
+        """From how often the chosen words, and the chosen n-grams of each length in ascending order, are in each language."""
+        return cls(langs, {w: k for k, w in enumerate(words[0])}, cls._scores(words[1]), [(keys, cls._scores(sums)) for keys, sums in tables])
+
+    @classmethod
+    def fit(cls, texts: list[str], langs: list[str], least: int = 3, most_words: int = 20_000, most_grams: int = 30_000, most_scores: int = 1 << 23) -> LanguageModel:
+        """Fits on texts at hand; :func:`fit_documents` does the same where texts are.
+
+        Words in fewer than ``least`` texts count as unseen. Of words, and of n-grams of a length, the most frequent of each language stay.
+        """
         names = sorted(set(langs))
-        index = {name: i for i, name in enumerate(names)}
         counts: dict[str, np.ndarray] = {}
         held: dict[str, int] = {}
         for text, lang in zip(texts, langs, strict=True):
-            own: dict[str, int] = {}
-            for w in words_of(text):
-                own[w] = own.get(w, 0) + 1
-            at = index[lang]
+            own = Counter(words_of(text))
             for w, n in own.items():
-                row = counts.get(w)
-                if row is None:
-                    row = counts[w] = np.zeros(len(names))
-                row[at] += n
+                counts.setdefault(w, np.zeros(len(names)))[names.index(lang)] += n
                 held[w] = held.get(w, 0) + 1
         listed = sorted(counts)
         if not listed:
             return cls([], {}, np.zeros((0, 0), np.float32), [])
         total = np.array([counts[w] for w in listed]).reshape(len(listed), len(names))
         often = np.array([held[w] for w in listed]) >= least
-        order = np.lexsort((np.arange(len(listed)), -total.sum(1)))
-        chosen = [i for i in order[often[order]].tolist()][:most_words]
-        words = {listed[i]: k for k, i in enumerate(chosen)}
+
+        def top(sums: np.ndarray, most: int) -> np.ndarray:
+            """Places of the most frequent of each language; ties go to the first."""
+            n = budget(len(names), most, most_scores)
+            return np.unique(np.concatenate([(o := np.lexsort((np.arange(len(sums)), -sums[:, k]))[:n])[sums[o, k] > 0] for k in range(len(names))]))
+
+        chosen = top(total * often[:, None], most_words)
         tables = []
-        weight = np.sqrt(total)  # a frequent word's letters count less than as many others
         for n in LENGTHS:
             h, owner = grams(listed, n)
             keys, at = np.unique(h, return_inverse=True)
+            weight = np.sqrt(total)  # a frequent word's letters count less than as many others
             sums = np.stack([np.bincount(at, weight[owner, k], len(keys)) for k in range(len(names))], 1) if len(keys) else np.zeros((0, len(names)))
-            top = np.sort(np.lexsort((keys, -sums.sum(1)))[:most_grams])
-            tables.append((keys[top], cls._scores(sums[top])))
-        return cls(names, words, cls._scores(total[chosen]), tables)
+            kept = top(sums, most_grams) if len(keys) else np.zeros(0, np.int64)
+            tables.append((keys[kept], sums[kept]))
+        return cls.of_counts(names, ([listed[i] for i in chosen.tolist()], total[chosen]), tables)
 
     @staticmethod
     def _scores(sums: np.ndarray) -> np.ndarray:
@@ -181,14 +193,74 @@ class Identifier:
         return out
 
 
-def language_sample(docs: DataFrame, most: int, id_col: str, text_col: str, lang_col: str) -> tuple[list[str], list[str]]:
-    """Texts and languages, on the driver, of about ``most`` documents of each language among those that may be learnt from."""
-    rows = docs.select(F.col(id_col).alias("at"), text_or_empty(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
+def language_sample(docs: DataFrame, most: int, id_col: str, text_col: str, lang_col: str) -> DataFrame:
+    """at, lang, text of about ``most`` documents of each language among those that may be learnt from."""
+    rows = docs.select(named(id_col).alias("at"), text_or_empty(text_col).alias("text"), named(lang_col).cast("string").alias("lang"))
     known = rows.filter(~held_out("at") & F.col("at").isNotNull() & F.col("lang").isNotNull())
-    chosen = of_each_class(known.select("at", "lang"), most, class_col="lang").distinct()
-    found = known.join(F.broadcast(chosen), ["at", "lang"])  # about most ids a language
-    sample = found.groupBy("at", "lang").agg(F.max("text").alias("text")).orderBy("at", "lang").toPandas()
-    return sample["text"].tolist(), sample["lang"].tolist()
+    return of_each_class(known, most, class_col="lang").groupBy("at", "lang").agg(F.max("text").alias("text"))
+
+
+def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """lang, word, n, texts: how often a word is in a batch's texts of a language, and in how many of them."""
+    for batch in batches:
+        counts: dict[tuple[str, str], list[int]] = {}
+        for text, lang in zip(batch.column("text"), batch.column("lang").to_pylist(), strict=True):
+            for w, n in Counter(words_of(text.as_py())).items():
+                held = counts.setdefault((lang, w), [0, 0])
+                held[0] += n
+                held[1] += 1
+        rows = [(lang, w, n, texts) for (lang, w), (n, texts) in counts.items()]
+        for a in range(0, len(rows), 100_000):
+            part = list(zip(*rows[a : a + 100_000], strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(part[0], pa.string()), pa.array(part[1], pa.string()), pa.array(part[2], pa.int64()), pa.array(part[3], pa.int64())], ["lang", "word", "n", "texts"])
+
+
+def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """lang, length, gram, n of the n-grams of words, a word's by the root of its count."""
+    for batch in batches:
+        langs = batch.column("lang").to_numpy(zero_copy_only=False).astype(object)
+        words, weight = batch.column("word").to_pylist(), np.sqrt(batch.column("n").to_numpy().astype(float))
+        for lang in sorted(set(langs)):
+            own = np.flatnonzero(langs == lang)
+            for length in LENGTHS:
+                h, owner = grams([words[i] for i in own.tolist()], length)
+                keys, at = np.unique(h, return_inverse=True)
+                sums = np.bincount(at, weight[own[owner]], len(keys)) if len(keys) else np.zeros(0)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), pa.array([length] * len(keys), pa.int32()), pa.array(keys.view(np.int64)), pa.array(sums)], ["lang", "length", "gram", "n"])
+
+
+def _of_most(counts: DataFrame, keys: list[str], item: str, most: Column) -> DataFrame:
+    """The counts (lang, keys, item, n) of the items that are among the ``most`` most frequent of a language."""
+    w = Window.partitionBy("lang", *keys).orderBy(F.desc("n"), item)
+    top = counts.filter("n > 0").withColumn("place", F.row_number().over(w)).filter(F.col("place") <= most).select(*keys, item).distinct()
+    return counts.join(top, [*keys, item], "left_semi")
+
+
+def fit_documents(docs: DataFrame, id_col: str, text_col: str, lang_col: str, most: int, least: int, most_words: int, most_grams: int, most_scores: int) -> LanguageModel:
+    """Fits on a sample of documents. Executors count words and n-grams, so the driver sees the counts of those that stay only."""
+    sample = language_sample(docs, most, id_col, text_col, lang_col)
+    counts = cut(sample.mapInArrow(_word_counts, "lang string, word string, n long, texts long").groupBy("lang", "word").agg(F.sum("n").alias("n"), F.sum("texts").alias("texts")))
+    names = sorted(r["lang"] for r in counts.select("lang").distinct().collect())
+    if not names:
+        return LanguageModel([], {}, np.zeros((0, 0), np.float32), [])
+    often = counts.groupBy("word").agg(F.sum("texts").alias("held")).filter(F.col("held") >= least).select("word")
+    words = _of_most(counts.select("lang", "word", "n").join(often, "word", "left_semi"), [], "word", F.lit(budget(len(names), most_words, most_scores))).toPandas()
+    grammed = counts.select("lang", "word", "n").mapInArrow(_gram_counts, "lang string, length int, gram long, n double").groupBy("lang", "length", "gram").agg(F.sum("n").alias("n"))
+    found = _of_most(cut(grammed), ["length"], "gram", F.lit(budget(len(names), most_grams, most_scores))).toPandas()
+    index = {name: k for k, name in enumerate(names)}
+
+    def table(items: np.ndarray, langs, n) -> tuple[np.ndarray, np.ndarray]:
+        keys, at = np.unique(items, return_inverse=True)
+        sums = np.zeros((len(keys), len(names)))
+        np.add.at(sums, (at, np.array([index[x] for x in langs], np.int64)), n)
+        return keys, sums
+
+    keys, sums = table(words["word"].to_numpy(object), words["lang"], words["n"].to_numpy(float))
+    tables = []
+    for length in LENGTHS:
+        part = found[found["length"] == length]
+        tables.append(table(part["gram"].to_numpy(np.int64).view(np.uint64), part["lang"], part["n"].to_numpy(float)))
+    return LanguageModel.of_counts(names, (keys.tolist(), sums), tables)
 
 
 def _identifying(model):
@@ -207,20 +279,35 @@ def _identifying(model):
     return run
 
 
-def identify_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most: int = 2000) -> DataFrame:
+def identify_language(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    lang_col: str = "lang",
+    most: int = 2000,
+    least: int = 3,
+    most_words: int = 20_000,
+    most_grams: int = 30_000,
+    most_scores: int = 1 << 23,
+) -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out, lang_pred, score.
 
     Learns from about ``most`` documents of each language, whole texts, that
     have a language and aren't held out; a language's name is nothing but a
-    label. lang_pred is ``und``, with score 0, for a null text, one without a letter, and
+    label. Words in fewer than ``least`` of these texts back off to n-grams. Of
+    words, and of n-grams of each length, the model knows the most frequent of
+    each language, ``most_words`` and ``most_grams``, or fewer where there are so
+    many languages that one table would hold over ``most_scores`` numbers.
+
+    lang_pred is ``und``, with score 0, for a null text, one without a letter, and
     where nothing could be learnt. Otherwise score is the language's share
     among the learnt ones, from 0 to 1; ties go to the name that sorts first.
 
     A null id is not held out but is never learnt from. Rows repeat as they
     come. No rows give no rows. Other columns of ``docs`` are ignored.
     """
-    model = docs.sparkSession.sparkContext.broadcast(LanguageModel.fit(*language_sample(docs, most, id_col, text_col, lang_col)))
-    rows = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
+    model = docs.sparkSession.sparkContext.broadcast(fit_documents(docs, id_col, text_col, lang_col, most, least, most_words, most_grams, most_scores))
+    rows = docs.select(named(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     found = rows.mapInArrow(_identifying(model), f"doc_id {kind}, lang_pred string, score double")
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")

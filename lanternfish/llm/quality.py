@@ -1,8 +1,9 @@
 """Quality scores by co-training.
 
 Two classifiers see each document from different sides: one its content
-(characters, words and their repetition), the other its page's metadata (source,
-language, length, layout of lines). Both start from the labelled documents. In
+(characters, words, lines and their repetition), the other the metadata that
+stands beside it (source, language, number of characters), which it takes from
+those columns alone. Both start from the labelled documents. In
 each round either labels the documents of an unlabelled pool of which it is
 most confident, and hands them to the other to learn from. At the end each
 view's logits are calibrated on labelled documents that it wasn't fitted on, a
@@ -23,17 +24,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, text_or_empty
+from .common import held_out, named, text_or_empty
 from .linear import calibrate, fit_logistic, sigmoid
 from .sampling import of_each_class
-from .toxicity import near_hashes
+from .toxicity import near_hashes, unlike_hashes
 
 SIGNS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 SOURCES, LANGS = 32, 16
 
 
 def content_features(text: str) -> list[float]:
-    """Shares of characters and words, and how much repeats."""
+    """Shares of characters and words, how much repeats, and the layout of lines."""
     n, chars = max(1, len(text)), Counter(text)
     upper = sum(v for c, v in chars.items() if c.isupper())
     letters = sum(v for c, v in chars.items() if c.isalpha())
@@ -51,25 +52,24 @@ def content_features(text: str) -> list[float]:
     numbers = [upper / max(1, letters), letters / n, digits / n, spaces / n, signs / n, (n - letters - digits - spaces - signs) / n]
     ratios = [len(counts) / m, len(counts) / math.sqrt(m) / 10, top / m, sum(v for k, v in lengths.items() if k <= 3) / m, sum(v for k, v in lengths.items() if k > 12) / m, capital / m, mixed / m, bare / m]
     again = sum(a == b for a, b in zip(words, words[1:], strict=False)) / m
-    return [*numbers, *ratios, again, entropy, math.log1p(len(words)), sum(k * v for k, v in lengths.items()) / m, *(math.log1p(1000 * chars.get(c, 0) / n) for c in SIGNS)]
+    lines = text.split("\n")
+    wide = [len(x) for x in lines]
+    layout = [len(set(lines)) / len(lines), max(wide) / n, math.log1p(sum(wide) / len(lines)), math.log1p(len(lines)), sum(x < 3 for x in wide) / len(lines), len(text.encode()) / n - 1]
+    return [*numbers, *ratios, *layout, again, entropy, math.log1p(len(words)), sum(k * v for k, v in lengths.items()) / m, *(math.log1p(1000 * chars.get(c, 0) / n) for c in SIGNS)]
 
 
-def metadata_features(text: str, source: str | None, lang: str | None, n_chars: int | None) -> list[float]:
-    """What is known of a page without reading it: where it comes from, how long it is, how it is laid out."""
-    lines = text.split("\n")
-    lengths = [len(x) for x in lines]
-    size = len(text) if n_chars is None else max(0, n_chars)
-    wide = len(text.encode()) / max(1, len(text))
+def metadata_features(source: str | None, lang: str | None, n_chars: int | None) -> list[float]:
+    """What is known of a page without reading it: where it comes from, its language and how long it is."""
+    size = 0 if n_chars is None else max(0, n_chars)
     row = [0.0] * (SOURCES + LANGS)
     row[zlib.crc32((source or "").encode()) % SOURCES] = 0.3
     row[SOURCES + zlib.crc32((lang or "").encode()) % LANGS] = 0.3
-    layout = [len(set(lines)) / len(lines), max(lengths) / max(1, len(text)), math.log1p(sum(lengths) / len(lines)), math.log1p(len(lines)), sum(x < 3 for x in lengths) / len(lines)]
     step = [float(math.log1p(size) > b) for b in (3, 4, 5, 6, 7, 8, 9)]
-    return [*row, *layout, *step, math.log1p(size), wide - 1, float(source is None), float(lang is None), float(n_chars is None)]
+    return [*row, *step, math.log1p(size), float(source is None), float(lang is None), float(n_chars is None)]
 
 
 N_CONTENT = len(content_features(""))
-N_METADATA = len(metadata_features("", None, None, None))
+N_METADATA = len(metadata_features(None, None, None))
 
 
 class View:
@@ -145,23 +145,24 @@ class CoTraining:
 def _columns(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """doc_id, text, source, lang, n_chars; null where a column is missing."""
 
-    def named(name: str, kind: str):
-        return (F.col(name) if name in docs.columns else F.lit(None)).cast(kind).alias(name)
+    def given(name: str, kind: str):
+        return (named(name) if name in docs.columns else F.lit(None)).cast(kind).alias(name)
 
-    return docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"), named("source", "string"), named("lang", "string"), named("n_chars", "long"))
+    return docs.select(named(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"), given("source", "string"), given("lang", "string"), given("n_chars", "long"))
 
 
 def _row(batch: pa.RecordBatch, k: int) -> tuple[list[float], list[float]]:
     text = batch.column("text")[k].as_py()
-    return content_features(text), metadata_features(text, *(batch.column(c)[k].as_py() for c in ("source", "lang", "n_chars")))
+    return content_features(text), metadata_features(*(batch.column(c)[k].as_py() for c in ("source", "lang", "n_chars")))
 
 
 def _featuring(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for k in range(batch.num_rows):
-            row = [x for part in _row(batch, k) for x in part]
-            near = near_hashes(batch.column("text")[k].as_py())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(k, 1), batch.column("label").slice(k, 1), pa.array([row]), pa.array([near], pa.list_(pa.uint64())).cast(pa.list_(pa.int64()), safe=False)], ["doc_id", "label", "x", "near"])
+        for a in range(0, batch.num_rows, 500):
+            part = batch.slice(a, 500)
+            rows = [[x for own in _row(part, k) for x in own] for k in range(part.num_rows)]
+            near = np.array([near_hashes(t.as_py()) for t in part.column("text")], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("label"), pa.array(rows, pa.list_(pa.float64())), pa.array(near.tolist(), pa.list_(pa.int64()))], ["doc_id", "label", "x", "near"])
 
 
 def _scoring(model):
@@ -205,7 +206,7 @@ def quality(
     """
     spark = docs.sparkSession
     rows = _columns(docs, id_col, text_col)
-    known = labels.filter(~held_out(id_col) & F.col("quality").isin(0, 1)).groupBy(F.col(id_col).alias("at")).agg(F.max("quality").cast("int").alias("label"))
+    known = labels.filter(~held_out(id_col) & F.col("quality").isin(0, 1)).groupBy(named(id_col).alias("at")).agg(F.max("quality").cast("int").alias("label"))
     chosen = of_each_class(known, most).select("at", "label")
     learnable = rows.filter(~held_out() & F.col("doc_id").isNotNull())
     share = int((1 << 40) * min(1.0, (pool + 2 * most) / max(1, learnable.count())))
@@ -214,12 +215,7 @@ def quality(
     kind = rows.schema["doc_id"].dataType.simpleString()
     made = sample.mapInArrow(_featuring, f"doc_id {kind}, label int, x array<double>, near array<long>").toPandas()
     made = made.sort_values("doc_id", kind="stable").reset_index(drop=True)
-    seen, first = [set() for _ in range(4)], []
-    for near in made["near"]:
-        first.append(not any(v in s for v, s in zip(near, seen, strict=True)))
-        for v, s in zip(near, seen, strict=True):
-            s.add(v)
-    made = made[np.array(first, bool)]
+    made = made.iloc[unlike_hashes(made["near"].tolist())]
     x = np.array(made["x"].tolist(), float).reshape(-1, N_CONTENT + N_METADATA)
     given = made["label"].notna().to_numpy()
     y = made["label"].to_numpy(float)[given]

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WORD, cut, text_or_empty
+from .common import WORD, cut, few, named, text_or_empty
 
 
 def sainte_lague(votes: list[int | Fraction], seats: int, most: list[int] | None = None) -> list[int]:
@@ -79,12 +79,17 @@ def n_words(text_col: str = "text") -> Column:
     return F.regexp_count(text_or_empty(text_col), F.lit(WORD)).cast("long")
 
 
-def _plan(spark: SparkSession, shards: list, weights: list[int], most_times: int, block: int) -> DataFrame:
-    """src, shard, its source's size and target, whole passes and blocks of one more pass."""
+#: A shard's share of its source's target has so many blocks at least, or blocks are single words.
+SHARE_BLOCKS = 64
+
+
+def _plan(spark: SparkSession, shards: list, weights: list[int], most_times: int, block: int) -> tuple[DataFrame, int, int]:
+    """src, shard, its source's size and target, whole passes and blocks of one more pass; how many rows these are, and the words of a block."""
     names = sorted({r["src"] for r in shards if r["src"] is not None}) + [None] * any(r["src"] is None for r in shards)
     of = {name: sorted((r for r in shards if r["src"] == name), key=lambda r: r["shard"]) for name in names}
     sizes = [sum(r["words"] for r in of[name]) for name in names]
     targets = targets_of(sizes, [weights[i % len(weights)] for i in range(len(names))], sum(sizes), most_times)
+    block = max(1, min([block, *(int(t / (SHARE_BLOCKS * len(of[name]))) for name, t in zip(names, targets, strict=True) if t > 0)]))
     n_blocks = [sum(-(-r["words"] // block) for r in of[name]) for name in names]
     # A source at its cap gets all its seats; the last block of a shard is shorter, so other quotas go by a source's real words a block.
     full = [s > 0 and t == most_times * s for t, s in zip(targets, sizes, strict=True)]
@@ -96,7 +101,7 @@ def _plan(spark: SparkSession, shards: list, weights: list[int], most_times: int
         blocks = [-(-r["words"] // block) for r in of[name]]
         for r, n, q in zip(of[name], blocks, sainte_lague([r["words"] for r in of[name]], quota, [most_times * n for n in blocks]), strict=True):
             rows.append((name, r["shard"], size, float(target), n, q // n if n else 0, q % n if n else 0))
-    return spark.createDataFrame(rows, "src string, shard int, source_size long, target double, blocks long, passes long, extra long")
+    return spark.createDataFrame(rows, "src string, shard int, source_size long, target double, blocks long, passes long, extra long"), len(rows), block
 
 
 def mix(
@@ -119,12 +124,14 @@ def mix(
     the mix, at most ``most_times`` its size: the whole text ``passes`` times,
     and the words of each of the ``spans`` (first, last exclusive) once more.
 
-    A source differs from its target by about a block a shard at most. A null
+    A source differs from its target by about a block a shard at most; a block
+    has ``block`` words, or fewer so that a shard's part of the least target
+    has 64 blocks, down to single words. A null
     or empty text takes no part and has taken 0. Equal rows lie
     side by side on the line. No rows give no rows; other columns are ignored.
     A source is dealt into a shard for each ``shard_rows`` rows, ``most_shards``
-    at most, so the plan that is broadcast has at most that many rows a source;
-    the sources themselves, as names with weights, must fit the driver.
+    at most, so the plan has at most that many rows a source. It is made on
+    the driver, which must hold it, and broadcast unless it has over 100,000 rows.
     """
     sized = cut(_sized(docs, id_col, text_col, source_col))
     lines = _lines(sized, weights, most_times, block, seed, shard_rows, most_shards)
@@ -133,7 +140,7 @@ def mix(
 
 def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str, *more: Column) -> DataFrame:
     text = text_or_empty(text_col)
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("src"), n_words(text_col).alias("size"), F.xxhash64(text).alias("mark"), *more)
+    return docs.select(named(id_col).alias("doc_id"), named(source_col).cast("string").alias("src"), n_words(text_col).alias("size"), F.xxhash64(text).alias("mark"), *more)
 
 
 def _lines(sized: DataFrame, weights: tuple[int, ...], most_times: int, block: int, seed: int, shard_rows: int, most_shards: int) -> DataFrame | None:
@@ -145,11 +152,12 @@ def _lines(sized: DataFrame, weights: tuple[int, ...], most_times: int, block: i
     counts = sized.groupBy("src").agg(F.count(F.lit(1)).alias("n")).collect()
     if not counts:
         return None
-    dealt = F.broadcast(spark.createDataFrame([(r["src"], min(most_shards, 1 + r["n"] // shard_rows)) for r in counts], "at string, n_shards int"))
+    dealt = few(spark.createDataFrame([(r["src"], min(most_shards, 1 + r["n"] // shard_rows)) for r in counts], "at string, n_shards int"), len(counts))
     rows = sized.join(dealt, F.col("src").eqNullSafe(F.col("at"))).drop("at")
     rows = rows.withColumn("order", order).withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), F.lit("shard"), *key), F.col("n_shards")).cast("int")).drop("n_shards")
     sums = rows.groupBy("src", "shard").agg(F.sum("size").alias("words")).collect()
-    plan = F.broadcast(_plan(spark, sums, list(weights), most_times, block).withColumnsRenamed({"src": "at", "shard": "at_shard"}))
+    plan, n, block = _plan(spark, sums, list(weights), most_times, block)
+    plan = few(plan.withColumnsRenamed({"src": "at", "shard": "at_shard"}), n)
     w = Window.partitionBy("src", "shard").orderBy("order", "doc_id", "size", "mark").rowsBetween(Window.unboundedPreceding, 0)
     lines = rows.withColumn("to", F.sum("size").over(w)).withColumn("from", F.col("to") - F.col("size"))
     lines = lines.join(plan, F.col("src").eqNullSafe(F.col("at")) & (F.col("shard") == F.col("at_shard"))).drop("at", "at_shard")
@@ -191,7 +199,7 @@ def mixed_documents(
     A part has its words joined by spaces; where a part is the whole text it is
     left as it is. Rows without an id and rows that share one are documents of their own.
     """
-    lines = _lines(_sized(docs, id_col, text_col, source_col, F.struct(*docs.columns).alias("row")), weights, most_times, block, seed, shard_rows, most_shards)
+    lines = _lines(_sized(docs, id_col, text_col, source_col, F.struct(*map(named, docs.columns)).alias("row")), weights, most_times, block, seed, shard_rows, most_shards)
     if lines is None:
         return docs.limit(0)
     whole = F.struct(F.lit(0).cast("long").alias("first"), F.col("size").alias("last"))

@@ -102,3 +102,43 @@ def test_small_sources_at_their_cap_are_taken_three_times(spark):
     docs = spark.createDataFrame([(i, " ".join(["w"] * n), s) for i, (s, n) in enumerate([("a", 10), ("b", 40), ("c", 100), ("d", 5000)])], "doc_id long, text string, source string")
     taken = {r.source: r.taken for r in mix(docs).collect()}
     assert (taken["a"], taken["b"], taken["c"]) == (30, 120, 300) and abs(taken["d"] - 4700) <= 32
+
+
+def test_small_sources_come_near_their_targets(spark):
+    """Sources of 3, 9 and 5 words."""
+    docs = spark.createDataFrame([(1, "a b c", "x"), (2, "d e f g", "y"), (3, "h i j k l", "y"), (4, "m n o p q", "z")], "doc_id long, text string, source string")
+    taken, target = Counter(), {}
+    for r in mix(docs).collect():
+        taken[r.source] += r.taken
+        target[r.source] = r.target
+    assert target["x"] == 9 and all(abs(taken[s] - t) <= 1 for s, t in target.items())
+
+
+def test_the_words_taken_are_those_of_the_blocks(spark):
+    """Lays out each source's line of words block by block and counts what each document has in the blocks taken."""
+    texts = [(i, " ".join(f"w{j}" for j in range((i * 37) % 200)), "abc"[i % 3]) for i in range(120)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string, source string")
+    block = 32
+    rows = mix(docs, block=block).orderBy("doc_id").collect()
+    by_source = defaultdict(list)
+    for r in rows:
+        by_source[r.source].append(r)
+    for held in by_source.values():
+        size, target = sum(r["size"] for r in held), held[0].target
+        own = max(1, min([block, *(int(h[0].target / 64) for h in by_source.values())]))
+        order = spark.createDataFrame([(r.doc_id,) for r in held], "doc_id long").selectExpr("doc_id", "xxhash64(0, doc_id, cast(null as long)) AS at").collect()
+        place = {r.doc_id: r.at for r in order}
+        line = [(r.doc_id, w) for r in sorted(held, key=lambda r: (place[r.doc_id], r.doc_id)) for w in range(r["size"])]
+        blocks = -(-len(line) // own)
+        counts = Counter()
+        for r in held:
+            for s in r.spans:
+                counts.update((r.doc_id, w) for w in range(s["first"], s["last"]))
+        again = [b for b in range(blocks) if any(counts[x] for x in line[b * own : (b + 1) * own])]
+        # A block is taken once more in whole or not at all, and those taken follow each other round the line.
+        assert all(counts[x] == (b in set(again)) for b in range(blocks) for x in line[b * own : (b + 1) * own])
+        assert sum((b - 1) % blocks not in set(again) for b in again) <= 1
+        passes = {r.passes for r in held if r["size"]}
+        assert len(passes) == 1
+        quota = passes.pop() * blocks + len(again)
+        assert abs(quota * size / blocks - target) <= own

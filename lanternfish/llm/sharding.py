@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut, text_or_empty
+from .common import cut, few, free, named, text_or_empty
 
 _LOW, _SPAN = -(1 << 63), 1 << 64
 #: The line's end: keys are pairs of longs, read as one number of 128 bits.
@@ -29,14 +29,32 @@ def _pair(point: int) -> tuple[int, int]:
     return high + _LOW, low + _LOW
 
 
-def _cell(points: list[int]) -> Column:
-    """How many of the points are at or below a row's key."""
+def _cell(points: list[int], key: Column | None = None, tie: Column | None = None, first: int = 0) -> Column:
+    """How many of the points are at or below a row's key, by halving."""
     if not points:
-        return F.lit(0)
-    pairs = [_pair(p) for p in points]
-    marks = F.array(*[F.struct(F.lit(high).cast("long").alias("key"), F.lit(low).cast("long").alias("tie")) for high, low in pairs])
-    key, tie = F.col("key"), F.col("tie")
-    return F.size(F.filter(marks, lambda p: (p["key"] < key) | ((p["key"] == key) & (p["tie"] <= tie))))
+        return F.lit(first)
+    key, tie = F.col("key") if key is None else key, F.col("tie") if tie is None else tie
+    middle = len(points) // 2
+    high, low = _pair(points[middle])
+    below = (key < F.lit(high).cast("long")) | ((key == F.lit(high).cast("long")) & (tie < F.lit(low).cast("long")))
+    return F.when(below, _cell(points[:middle], key, tie, first)).otherwise(_cell(points[middle + 1 :], key, tie, first + middle + 1))
+
+
+def _keys(id_col: str, text_col: str) -> tuple[Column, Column, Column]:
+    """A row's size, key and tie."""
+    text = text_or_empty(text_col)
+    return (F.octet_length(text) + 1).cast("long").alias("size"), F.xxhash64(named(id_col), text).alias("key"), F.xxhash64(F.monotonically_increasing_id()).alias("tie")
+
+
+def _probes(a: int, b: int, share: float, rows: int, probes: int) -> set[int]:
+    """Probes between two points: half of them evenly spread, the others where keys that are spread evenly would have ``share`` of the bytes below them, so far as ``rows`` of them stray."""
+    width, even = b - a, max(1, probes // 2)
+    at = {a + width * i // (even + 1) for i in range(1, even + 1)}
+    stray, n = 4 / (1 + rows) ** 0.5, probes - even
+    for i in range(n):
+        x = share + stray * (2 * i / max(1, n - 1) - 1)
+        at.add(a + int(min(max(x, 0.0), 1.0) * (1 << 52)) * width // (1 << 52))
+    return {p for p in at if a < p < b}
 
 
 def splitters(keyed: DataFrame, n_shards: int, tolerance: float, probes: int) -> list[int]:
@@ -57,7 +75,7 @@ def splitters(keyed: DataFrame, n_shards: int, tolerance: float, probes: int) ->
         at = set()
         for ((a, size_a, rows_a), (b, size_b, rows_b)), goal in zip(spans, goals, strict=True):
             if b - a > 1 and rows_b - rows_a > 1 and min(abs(size_a - goal), abs(size_b - goal)) > slack:
-                at.update(a + (b - a) * i // (probes + 1) for i in range(1, probes + 1))
+                at.update(_probes(a, b, (goal - size_a) / max(1, size_b - size_a), rows_b - rows_a, probes))
         points = sorted(at - {0})
         if not points:
             return [min(span, key=lambda k: abs(k[1] - g))[0] for span, g in zip(spans, goals, strict=True)]
@@ -80,7 +98,7 @@ def histogram_shards(
     text_col: str = "text",
     tolerance: float = 0.001,
     probes: int = 15,
-    ranges: int = 64,
+    ranges: int | None = None,
 ) -> DataFrame:
     """One row per row of ``docs``: doc_id, size, text_crc32, law, shard, slot, grown_shard.
 
@@ -91,21 +109,16 @@ def histogram_shards(
 
     A null text has size 1 and the crc32 of no bytes; a null id is a value like
     another. No rows give no rows. Other columns of ``docs`` are ignored. Each
-    shard is cut into ``ranges`` parts that tasks number on their own.
+    shard is cut into ``ranges`` parts, by default one for each 50,000 rows,
+    that tasks number on their own. Which of several equal rows comes first, and so which of them lie
+    in which of two shards, follows from the places of the input's files.
     """
-    if n_shards < 1 or ranges < 1 or probes < 1:
+    if n_shards < 1 or probes < 1 or (ranges is not None and ranges < 1):
         raise ValueError("n_shards, ranges and probes must be positive")
-    text = text_or_empty(text_col)
-    keyed = cut(
-        docs.select(
-            F.col(id_col).alias("doc_id"),
-            (F.octet_length(text) + 1).cast("long").alias("size"),
-            F.crc32(text.cast("binary")).alias("text_crc32"),
-            F.xxhash64(F.col(id_col), text).alias("key"),
-            F.xxhash64(F.monotonically_increasing_id()).alias("tie"),
-        )
-    )
+    size, *key = _keys(id_col, text_col)
+    keyed = cut(docs.select(named(id_col).alias("doc_id"), size, F.crc32(text_or_empty(text_col).cast("binary")).alias("text_crc32"), *key))
     cuts = [0, *splitters(keyed, n_shards, tolerance, probes), _END]
+    ranges = ranges or 1 + keyed.count() // (n_shards * 50_000)
     # A shard's stretch of the line is cut into equal parts; a part's rows are numbered after those of the parts before it.
     lows = [_pair(a)[0] for a in cuts[:-1]]
     rates = [ranges * _SPAN / max(b - a, 1) for a, b in zip(cuts, cuts[1:], strict=False)]
@@ -119,9 +132,9 @@ def histogram_shards(
         seen = 0 if k % ranges == 0 else seen
         starts.append((k, seen))
         seen += counts.get(k, 0)
-    offsets = docs.sparkSession.createDataFrame(starts, "part int, start long")  # n_shards * ranges rows
+    offsets = few(docs.sparkSession.createDataFrame(starts, "part int, start long"), len(starts))
     w = Window.partitionBy("part").orderBy("key", "tie")
-    numbered = placed.withColumn("row", F.row_number().over(w) - 1).join(F.broadcast(offsets), "part")
+    numbered = placed.withColumn("row", F.row_number().over(w) - 1).join(offsets, "part")
     return numbered.select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard",
         (F.col("start") + F.col("row")).alias("slot"), F.lit(None).cast("int").alias("grown_shard"),
@@ -133,12 +146,16 @@ def _nth(values: list, kind: str) -> Column:
     return F.element_at(F.array(*[F.lit(v) for v in values]).cast(f"array<{kind}>"), F.col("shard") + 1)
 
 
-def write_shards(docs: DataFrame, path: str, n_shards: int = 16, id_col: str = "doc_id", **options) -> None:
-    """Writes ``docs`` as Parquet under ``path``, a folder per shard, rows in the order of their slots.
+def write_shards(docs: DataFrame, path: str, n_shards: int = 16, id_col: str = "doc_id", text_col: str = "text", tolerance: float = 0.001, probes: int = 15) -> None:
+    """Writes ``docs`` as Parquet under ``path``, a folder per shard, rows in the order of their keys.
 
-    The ids must be unique: rows are matched to their shards by id.
+    The rows go to their shards by their own keys, so that rows that repeat an id are rows like others. Exchanged once.
     """
-    at = histogram_shards(docs, n_shards, id_col, **options).select(F.col("doc_id").alias("_id"), F.col("shard").alias("_shard"), F.col("slot").alias("_slot"))
-    found = docs.join(at, F.col(id_col).eqNullSafe(F.col("_id"))).drop("_id")
-    parted = found.repartitionByRange(n_shards * 4, "_shard", "_slot").sortWithinPartitions("_shard", "_slot")
-    parted.write.partitionBy("_shard").parquet(path)
+    names = free(docs.columns, "_shard"), free(docs.columns, "key"), free(docs.columns, "tie")
+    size, *key = _keys(id_col, text_col)
+    cuts = splitters(cut(docs.select(size, *key)), n_shards, tolerance, probes)
+    shard, first, second = names
+    rows = docs.withColumns({first: key[0], second: key[1]})
+    rows = rows.withColumn(shard, _cell(cuts, F.col(first), F.col(second)))
+    parted = rows.repartitionByRange(n_shards * 4, *names).sortWithinPartitions(*names)
+    parted.drop(first, second).write.partitionBy(shard).parquet(path)

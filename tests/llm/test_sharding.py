@@ -49,3 +49,29 @@ def test_files_hold_the_shards(spark, whole, tmp_path):
     assert sorted(r.doc_id for r in back.collect()) == sorted(r.doc_id for r in whole.collect())
     want = {r.doc_id: r.shard for r in histogram_shards(whole, 4).collect()}
     assert {r.doc_id: r._shard for r in back.select("doc_id", "_shard").collect()} == want
+
+
+def test_shards_as_cut_from_a_sorted_line(spark):
+    """A plain sort of all keys, cut where the bytes below come nearest to each shard's goal."""
+    df = spark.range(3000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("y"), (F.col("id") * 31 % 97).cast("int")).alias("text"))
+    n = 5
+    line = sorted((r.key, r.doc_id, r["size"]) for r in df.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), (F.octet_length("text") + 1).alias("size")).collect())
+    total, below, ends = sum(x[2] for x in line), 0, []
+    for _, i, size in line:
+        ends.append((below, i))
+        below += size
+    found = {r.doc_id: (r.shard, r.slot) for r in histogram_shards(df, n, tolerance=0.0).collect()}
+    shard, want, slot = 0, {}, 0
+    for k, (bytes_below, i) in enumerate(ends):
+        after = ends[k + 1][0] if k + 1 < len(ends) else total
+        while shard < n - 1 and abs(bytes_below - total * (shard + 1) / n) <= abs(after - total * (shard + 1) / n):
+            shard, slot = shard + 1, 0
+        want[i] = (shard, slot)
+        slot += 1
+    assert found == want
+
+
+def test_rows_that_repeat_an_id_are_written_once_each(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a", "k1"), (1, "b", "k2"), (1, "a", "k3"), (None, None, "k4"), (None, "a", "k5")], "doc_id long, text string, _shard string")
+    write_shards(df, str(tmp_path / "out"), 2)
+    assert sorted(r._shard for r in spark.read.parquet(str(tmp_path / "out")).select("_shard").collect()) == ["k1", "k2", "k3", "k4", "k5"]

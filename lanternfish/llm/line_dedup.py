@@ -20,12 +20,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, fresh_folder, text_or_empty
+from .common import cut, file_system, fresh_folder, named, text_or_empty
 
 #: ASCII white space, stripped at both ends of a line.
 BLANK = b" \t\n\x0b\x0c\r"
 #: An output batch ends when its text has this many bytes.
-BATCH_BYTES = 4_000_000
+BATCH_BYTES = 8_000_000
 #: Bits of a level of the minimal perfect hash for each key that is left.
 GAMMA = 1.7
 
@@ -91,18 +91,25 @@ class PerfectHash:
         return found
 
 
-def _store(folder: str):
-    """The file system of the shared folder, and the path in it."""
-    import pyarrow.fs as fs
-
-    return fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
+#: Kinds of arrays in a shard's file.
+KINDS = [np.dtype(np.int64), np.dtype(np.uint64), np.dtype(np.uint32)]
 
 
 def _pack(arrays: list[np.ndarray]) -> bytes:
-    import io
+    """Their number, the kind and length of each, and then the arrays themselves, each from a multiple of 8 bytes on."""
+    head = np.array([len(arrays), *(x for a in arrays for x in (KINDS.index(a.dtype), len(a)))], np.int64)
+    return b"".join(x.tobytes() + b"\0" * (-x.nbytes % 8) for x in (head, *arrays))
+
 
-    np.savez(out := io.BytesIO(), *arrays)
-    return out.getvalue()
+def _unpack(buffer) -> list[np.ndarray]:
+    """Views of the arrays."""
+    n = int(np.frombuffer(buffer, np.int64, 1)[0])
+    head = np.frombuffer(buffer, np.int64, 2 * n, 8).reshape(-1, 2).tolist()
+    at, arrays = 8 + 16 * n, []
+    for kind, length in head:
+        arrays.append(np.frombuffer(buffer, KINDS[kind], length, at) if length else np.zeros(0, KINDS[kind]))
+        at += -(-length * KINDS[kind].itemsize // 8) * 8
+    return arrays
 
 
 def _line_hashes(least: int):
@@ -148,40 +155,55 @@ def _build(folder: str):
         order = np.empty(len(h), np.int64)
         order[function.index(h)] = np.arange(len(h))
         columns = [pdf[c].to_numpy(np.int64)[order] for c in ("f", "largest")] + [pdf["n"].to_numpy(np.int64).clip(0, 2**32 - 1).astype(np.uint32)[order]]
-        extra = twins[["h", "f", "largest"]].to_numpy(np.int64).reshape(-1, 3)
-        store, path = _store(folder)
+        extra = twins[["h", "f", "largest"]].to_numpy(np.int64).reshape(-1)
+        store, path = file_system(folder)
         store.create_dir(path, recursive=True)
         import uuid
 
         draft = f"{path}/draft-{uuid.uuid4().hex}"  # a lost or repeated task leaves the file whole
         with store.open_output_stream(draft) as f:
             f.write(_pack([function.sizes, function.words, function.before, *columns, extra]))
-        store.move(draft, f"{path}/shard-{shard}.npz")
+        store.move(draft, f"{path}/shard-{shard}")
         return pd.DataFrame({"shard": [shard], "n_keys": [len(h) + len(twins)]})
 
     return run
 
 
 class Shards:
-    """The shards' arrays, read from the shared folder when first probed; the ones used last stay in memory, up to a bound."""
+    """The shards' arrays in the shared folder.
+
+    Where that is a mounted folder its files are mapped, so nothing is loaded
+    but the pages that are probed, and workers of a machine share them.
+    Elsewhere files are read when first probed, and the ones used last stay, up to a bound.
+    """
+
+    #: Mapped files at a time.
+    MAPPED = 1024
 
     def __init__(self, folder: str, n_shards: int, held_bytes: int):
         from collections import OrderedDict
 
-        self.folder, self.n, self.most, self.held = folder, n_shards, held_bytes, OrderedDict()
+        self.folder, self.n, self.most, self.held, self.loads = folder, n_shards, held_bytes, OrderedDict(), 0
 
     def shard(self, k: int) -> tuple:
         if k in self.held:
             self.held.move_to_end(k)
             return self.held[k]
-        import io
+        import pyarrow.fs as fs
+
+        store, path = file_system(self.folder)
+        path, mapped = f"{path}/shard-{k}", isinstance(store, fs.LocalFileSystem)
+        with pa.memory_map(path) if mapped else store.open_input_file(path) as f:
+            buffer = f.read_buffer(f.size())
+        self.loads += 1
+
+        def full() -> bool:
+            return len(self.held) >= self.MAPPED if mapped else sum(b.size for b, *_ in self.held.values()) + buffer.size > self.most
 
-        store, path = _store(self.folder)
-        with store.open_input_file(f"{path}/shard-{k}.npz") as f:
-            arrays = list(np.load(io.BytesIO(f.read())).values())
-        while self.held and sum(x.nbytes for v in self.held.values() for x in v[1:]) + sum(x.nbytes for x in arrays) > self.most:
+        while self.held and full():
             self.held.popitem(last=False)
-        self.held[k] = (PerfectHash(*arrays[:3]), *arrays[3:])
+        arrays = _unpack(buffer)
+        self.held[k] = (buffer, PerfectHash(*arrays[:3]), *arrays[3:6], arrays[6].reshape(-1, 3))
         return self.held[k]
 
     def probe(self, h: np.ndarray, f: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -190,7 +212,7 @@ class Shards:
         shard = (h % np.uint64(self.n)).astype(np.int64)
         for k in np.unique(shard).tolist():
             at = np.flatnonzero(shard == k)
-            function, prints, last, number, extra = self.shard(k)
+            _, function, prints, last, number, extra = self.shard(k)
             index = function.index(h[at])
             hit = (index >= 0) & (prints[index] == f[at])
             counts[at[hit]], largest[at[hit]] = number[index[hit]], last[index[hit]]
@@ -266,10 +288,12 @@ def line_dedup(
     repeat an id count each, and keep the lines that their id keeps. A row
     whose id is null counts but keeps nothing, so lines held by null ids alone
     go everywhere. No rows give no rows. Ids are integers; other columns of
-    ``docs`` are ignored. A worker holds ``held_bytes`` of shards at most, and one.
+    ``docs`` are ignored. Shards of ``shard_keys`` keys lie in the shared folder
+    until the driver ends; workers map them, or where the folder isn't mounted
+    hold ``held_bytes`` of them at most, and one.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
+    rows = docs.select(named(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
     hashes = rows.mapInArrow(_line_hashes(least_chars), "h long, f long, doc_id long")
     common = hashes.groupBy("h", "f").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("largest")).filter(F.col("n") >= least_docs)
     common = cut(common.withColumn("largest", F.coalesce("largest", F.lit(-(1 << 63)))))

@@ -53,6 +53,25 @@ def test_one_shard_in_memory_at_a_time(spark, odd):
     assert sorted(map(tuple, got), key=repr) == plain(rows, 1, 2)
 
 
+def test_a_task_maps_each_of_forty_shards_once(tmp_path):
+    rng = np.random.default_rng(4)
+    h = np.unique(rng.integers(0, 2**63, 4000).astype(np.uint64))
+    f, largest, n = rng.integers(-(2**62), 2**62, len(h)), np.arange(len(h)), np.arange(len(h)) % 9 + 1
+    for k in range(40):
+        own = h % np.uint64(40) == k
+        function = ld.PerfectHash.build(h[own])
+        order = np.empty(own.sum(), np.int64)
+        order[function.index(h[own])] = np.flatnonzero(own)
+        arrays = [function.sizes, function.words, function.before, f[order], largest[order], n[order].astype(np.uint32), np.zeros(0, np.int64)]
+        (tmp_path / f"shard-{k}").write_bytes(ld._pack(arrays))
+    shards = ld.Shards(str(tmp_path), 40, 1)
+    for _ in range(3):
+        counts, last = shards.probe(h, f)
+        assert (counts == n).all() and (last == largest).all()
+        assert not shards.probe(h, f + 1)[0].any()
+    assert shards.loads == 40
+
+
 def test_code_points_count_not_bytes(spark):
     rows = [(i, "é" * 19 + "\n" + "é" * 20) for i in range(3)]
     got = {r.doc_id: r.n_dropped for r in ld.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}

@@ -91,3 +91,48 @@ def test_all_links_of_a_near_copy_group_of_a_third_of_the_rows(spark, block):
 def test_a_table_of_two_vectors(spark):
     rows = [(1, [1.0, 0.0]), (2, [1.0, 0.1])]
     assert got(frame(spark, rows)) == plain(rows)
+
+
+@pytest.mark.parametrize("dims", [64, 256, 768])
+@pytest.mark.parametrize("pivots", [512, 4096, 16384])
+def test_retrieval_of_pairs_at_the_threshold(dims, pivots):
+    """Pairs of cosine exactly 0.9, by the operator's own description and counting."""
+    import pyarrow as pa
+
+    from lanternfish.llm import vectors as v
+
+    rng = np.random.default_rng(dims + pivots)
+    p = v.unit(rng.normal(size=(pivots, dims))).astype(np.float32)
+    a, z = v.unit(rng.normal(size=(500, dims))), rng.normal(size=(500, dims))
+    z = v.unit(z - (z * a).sum(1, keepdims=True) * a)
+    b = 0.9 * a + np.sqrt(1 - 0.81) * z
+
+    class Shared:
+        value = p
+
+    def near(x):
+        batch = pa.RecordBatch.from_arrays([pa.array(x.tolist(), pa.list_(pa.float64()))], ["vector"])
+        return np.concatenate([np.array(r.column("near").to_pylist()) for r in v._describing(Shared, 16)([batch])])
+
+    x, y = near(a), near(b)
+    order = np.argsort(-(a.astype(np.float32) @ p.T), 1)[:, :16]
+    assert (x == order).mean() > 0.999  # the nearest first
+    met = np.array([bool(set(i[:8]) & set(j[:8])) and len(set(i) & set(j)) >= 3 for i, j in zip(x.tolist(), y.tolist(), strict=True)])
+    assert met.mean() >= 0.95
+    # Signatures never count too few.
+    pairs = v._retrieved(v._signatures(x), v._signatures(y), 3)
+    assert pairs[np.arange(500), np.arange(500)][met].all()
+
+
+def test_exact_mode(spark):
+    rows = clusters(7) + [(900, [1.0, 0.0]), (901, [1.0, 0.1])]
+    assert got(frame(spark, rows), exact=True) == got(frame(spark, rows), exact=True, tile=5, block=7) == plain(rows)
+
+
+def test_dense_groups_around_the_threshold(spark):
+    """Two groups of a quarter of the rows each whose pairs have cosines of about 0.89 and 0.95."""
+    rng = np.random.default_rng(8)
+    rows = [rng.normal(size=64) + s * rng.normal(size=(150, 64)) for s in (0.35, 0.23)] + [rng.normal(size=(300, 64))]
+    rows = list(enumerate(np.concatenate(rows).tolist()))
+    a, b = (dict((r[0], r[1]) for r in got(frame(spark, rows), exact=e)) for e in (True, False))
+    assert sum(b.values()) >= 0.99 * sum(a.values()) > 1000

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lanternfish.llm.bpe import encode
-from lanternfish.llm.common import fresh_folder
+from lanternfish.llm.common import fresh_folder, removed, written
 from lanternfish.llm.exact_dedup import exact_dedup
 from lanternfish.llm.jaccard import jaccard_dedup
 from lanternfish.llm.mixing import mixed_documents
@@ -59,9 +59,11 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows for ``documents``."""
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         path = fresh_folder(spark, f"corpus-{name}")
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        written(stage(spark, docs, sf_dir), path)
+        if before:
+            removed(before)
+        docs, before = spark.read.parquet(path), path
     return STAGES[-1][1](spark, docs, sf_dir)

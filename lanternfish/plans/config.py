@@ -18,7 +18,8 @@ class ForestConfig:
     """-1 stands for a default that the data and K decide, see :meth:`resolved`.
 
     ``min_leaf`` and ``max_leaf`` bound the points of a leaf, ``explore`` is the
-    number of rounds in which neighbours of neighbours are tried.
+    number of rounds in which neighbours of neighbours are tried. ``split`` is
+    ``points`` for planes between two points, ``projection`` for random directions.
     """
 
     seed: int = 0
@@ -31,6 +32,7 @@ class ForestConfig:
     ensure_valid: bool = True
     random_motion: bool = False
     motion_force: float = 1.0
+    split: str = "points"
 
     def resolved(self, k: int, n_points: int = 0, n_dims: int = 0) -> ForestConfig:
         if k < 1:
@@ -45,4 +47,6 @@ class ForestConfig:
         n_trees = self.n_trees if self.n_trees != -1 else auto_trees(n_points, n_dims, min_leaf, max_leaf)
         if n_trees < 1 or explore < 0 or self.max_depth < 1:
             raise ValueError("n_trees and max_depth must be positive, explore not negative")
+        if self.split not in ("points", "projection"):
+            raise ValueError("split must be points or projection")
         return replace(self, n_trees=n_trees, min_leaf=min_leaf, max_leaf=max_leaf, explore=explore)

@@ -1,10 +1,11 @@
-"""Cutting the lineage of loops."""
+"""Cutting the lineage of loops, and joins with small tables."""
 
 from __future__ import annotations
 
 import tempfile
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -18,3 +19,8 @@ def cut(df: DataFrame) -> DataFrame:
             named = tempfile.mkdtemp(prefix="lanternfish-")
         sc.setCheckpointDir(named)
     return df.checkpoint(eager=True)
+
+
+def few(df: DataFrame, n: int, most: int = 100_000) -> DataFrame:
+    """A table of ``n`` narrow rows, to be broadcast unless they are more than ``most``."""
+    return F.broadcast(df) if n <= most else df

@@ -52,7 +52,9 @@ def _same(ids, b_ids):
     return own, at[own]
 
 
-def _block_function(k: int, include_self: bool, same: bool):
+def block_function(k: int, include_self: bool, same: bool):
+    """A function of query ids and vectors, base ids in ascending order and base vectors: the k nearest base points of each query."""
+
     def measured(ids, q, b_ids, b, may, first):
         """The k nearest, by distance and id, among the base points that each query from ``first`` on may have."""
         import numpy as np
@@ -141,7 +143,7 @@ def exact_search(base: DataFrame, queries: DataFrame, k: int, include_self: bool
     if k < 1:
         raise ValueError("k must be at least 1")
     spark = base.sparkSession
-    top = _block_function(k, include_self, same)
+    top = block_function(k, include_self, same)
     size = base.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vector")).alias("d")).first()
     if not size["n"]:
         return queries.sparkSession.createDataFrame([], "id long, neighbor_id long, sq_dist double, rank int")
@@ -166,10 +168,26 @@ def exact_graph(points: DataFrame, k: int, include_self: bool = False, **options
     return exact_search(points, points, k, include_self, same=True, **options)
 
 
-def pairwise(left: DataFrame, right: DataFrame) -> DataFrame:
-    """left_id, right_id, sq_dist of all pairs, for a small table on the right."""
-    from lanternfish.functions.vectors import sq_l2
+def _pair_map(queries, base):
+    import numpy as np
+    import pyarrow as pa
+
+    from lanternfish.functions.arrow import matrix
+
+    a, b = queries.column("id").to_numpy(), base.column("id").to_numpy()
+    x, y = matrix(queries.column("vector")), matrix(base.column("vector"))
+    found = [((x - v) ** 2).sum(1) if len(x) else np.zeros(0) for v in y]
+    found = np.stack(found, 1).ravel() if found else np.zeros(0)
+    return pa.table([pa.array(c) for c in (np.repeat(a, len(b)), np.tile(b, len(a)), found)], names=["left_id", "right_id", "sq_dist"])
 
-    a = left.select(F.col("id").alias("left_id"), F.col("vector").alias("left_vector"))
-    b = right.select(F.col("id").alias("right_id"), F.col("vector").alias("right_vector"))
-    return a.crossJoin(b).select("left_id", "right_id", sq_l2(F.col("left_vector"), F.col("right_vector")).alias("sq_dist"))
+
+def pairwise(left: DataFrame, right: DataFrame, block: int = 1024) -> DataFrame:
+    """left_id, right_id, sq_dist of all pairs: the feature is the whole matrix, which tasks fill in blocks of ``block`` rows a side."""
+    n_left, n_right = (max(1, math.ceil(df.count() / block)) for df in (left, right))
+
+    def dealt(df: DataFrame, own: str, n_own: int, other: str, n_other: int) -> DataFrame:
+        return df.select("id", "vector", F.pmod(F.xxhash64("id"), F.lit(n_own)).cast("int").alias(own), F.explode(F.sequence(F.lit(0), F.lit(n_other - 1))).alias(other))
+
+    a, b = dealt(left, "lb", n_left, "rb", n_right), dealt(right, "rb", n_right, "lb", n_left)
+    b = b.toDF(*b.columns)  # both sides may come from one table
+    return a.groupBy("lb", "rb").cogroup(b.groupBy("lb", "rb")).applyInArrow(_pair_map, "left_id long, right_id long, sq_dist double")

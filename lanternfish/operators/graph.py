@@ -6,43 +6,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lanternfish.functions.vectors import sq_l2
-from lanternfish.operators.forest import Forest, grow, leaf_ids, route
+from lanternfish.operators.forest import Forest, grow, leaf_ids, routed
+from lanternfish.operators.groups import nearest_in_groups
+from lanternfish.operators.numbering import sums_before
 from lanternfish.operators.prep import random_motion
 from lanternfish.operators.topk import nearest
 from lanternfish.plans.config import ForestConfig
 from lanternfish.plans.lineage import cut
 
-CANDIDATES = "id long, neighbor_id long, sq_dist double"
-
-
-def _within_leaf(k: int):
-    """The k nearest others of each point of a leaf. A leaf is bounded, so a task holds one small matrix."""
-
-    def run(key, table):
-        import numpy as np
-        import pyarrow as pa
+def leaf_candidates(points: DataFrame, assignment: DataFrame, k: int) -> DataFrame:
+    """id, neighbor_id, sq_dist: of each tree's leaf the ``k`` nearest others of each of its points."""
+    members = _leaves(points, assignment)
+    return nearest_in_groups(members, members.toDF(*members.columns), k, include_self=False, same=True)
 
-        ids = table.column("id").to_numpy()
-        x = np.array(table.column("vector").to_pylist(), float)
-        out = []
-        for a in range(0, len(ids), 256):
-            d = ((x[a : a + 256, None, :] - x[None, :, :]) ** 2).sum(2)
-            d[ids[a : a + 256, None] == ids[None, :]] = np.inf
-            n = min(k, len(ids))
-            order = np.lexsort((np.broadcast_to(ids, d.shape), d), axis=1)[:, :n]
-            near = np.take_along_axis(d, order, 1)
-            good = np.isfinite(near)
-            out.append((np.repeat(ids[a : a + 256], good.sum(1)), ids[order][good], near[good]))
-        columns = [np.concatenate(c) for c in zip(*out, strict=True)]
-        return pa.table([pa.array(c) for c in columns], names=["id", "neighbor_id", "sq_dist"])
 
-    return run
+def _leaves(points: DataFrame, assignment: DataFrame) -> DataFrame:
+    """group, id, vector of the leaves' members."""
+    return assignment.select(_leaf().alias("group"), "id").join(points.select("id", "vector"), "id")
 
 
-def leaf_candidates(points: DataFrame, assignment: DataFrame, k: int) -> DataFrame:
-    """id, neighbor_id, sq_dist: of each tree's leaf the ``k`` nearest others of each of its points."""
-    return assignment.select("tree", "path", "id").join(points.select("id", "vector"), "id").groupBy("tree", "path").applyInArrow(_within_leaf(k), CANDIDATES)
+def _leaf():
+    return F.concat_ws(":", "tree", "path")
 
 
 def itself(points: DataFrame) -> DataFrame:
@@ -50,19 +34,31 @@ def itself(points: DataFrame) -> DataFrame:
 
 
 def explore(points: DataFrame, graph: DataFrame, k: int) -> DataFrame:
-    """One round of neighbours of neighbours: those not yet present are measured, and the ``k`` nearest stay. A point never becomes its own neighbour here."""
+    """One round of neighbours of neighbours: those no farther than a point's ``k``-th are measured, and the ``k`` nearest stay. A point never becomes its own neighbour here.
+
+    Each edge carries one vector to the point between; there the points that name
+    it meet those that it names, so pairs are measured where both vectors lie and only what may come in moves on.
+    """
     edges = graph.select("id", "neighbor_id", "sq_dist")
-    more = edges.select(F.col("id"), F.col("neighbor_id").alias("via")).join(edges.select(F.col("id").alias("via"), F.col("neighbor_id").alias("candidate")), "via")
-    more = more.filter("candidate <> id").select("id", F.col("candidate").alias("neighbor_id")).distinct().join(edges.select("id", "neighbor_id"), ["id", "neighbor_id"], "left_anti")
-    a = points.select("id", F.col("vector").alias("a"))
-    b = points.select(F.col("id").alias("neighbor_id"), F.col("vector").alias("b"))
-    measured = more.join(b, "neighbor_id").join(a, "id").select("id", "neighbor_id", sq_l2(F.col("a"), F.col("b")).alias("sq_dist"))
-    return nearest(edges.unionByName(measured), k)
+    others = graph.filter("id <> neighbor_id")
+    last = Window.partitionBy("id")
+    bound = F.coalesce(F.max(F.when(F.col("rank") == k, F.col("sq_dist"))).over(last), F.lit(float("inf")))
+    asking = graph.withColumn("bound", bound).filter("id <> neighbor_id").join(points.select("id", "vector"), "id")
+    asking = asking.select(F.col("neighbor_id").alias("group"), "id", "vector", "bound")
+    named = points.select(F.col("id").alias("neighbor_id"), "vector")
+    members = others.join(named, "neighbor_id").select(F.col("id").alias("group"), F.col("neighbor_id").alias("id"), "vector")
+    return nearest(edges.unionByName(nearest_in_groups(asking, members, k, include_self=False, same=True)), k)
 
 
 def graph_of(points: DataFrame, forest: Forest, k: int, rounds: int = 0, include_self: bool = True, seeds: DataFrame | None = None) -> DataFrame:
-    """id, neighbor_id, sq_dist, rank over a grown forest; ``seeds`` are candidates that are known already."""
-    found = leaf_candidates(points, forest.assignment, k)
+    """id, neighbor_id, sq_dist, rank over a grown forest; ``seeds`` are candidates that are known already.
+
+    Neighbours that the forest found while it grew are taken from it.
+    """
+    if forest.near is not None and forest.k >= k:
+        found = forest.near.select("id", F.explode(F.slice("near", 1, k)).alias("e")).select("id", "e.*")
+    else:
+        found = leaf_candidates(points, forest.assignment, k)
     if include_self:
         found = found.unionByName(itself(points))
     if seeds is not None:
@@ -81,10 +77,10 @@ def knn_graph(points: DataFrame, k: int, config: ForestConfig | None = None) ->
     a tree whose leaves hold enough and explores again.
     """
     config, points = _ready(points, k, config or ForestConfig())
-    graph = graph_of(points, grow(points, config), k, config.explore, config.include_self)
+    graph = graph_of(points, grow(points, config, k), k, config.explore, config.include_self)
     if config.ensure_valid and config.min_leaf < k + 1:
         extra = _extra(config, k)
-        graph = graph_of(points, grow(points, extra), k, config.explore, config.include_self, cut(graph))
+        graph = graph_of(points, grow(points, extra, k), k, config.explore, config.include_self, cut(graph))
     return graph
 
 
@@ -100,37 +96,10 @@ def _ready(points: DataFrame, k: int, config: ForestConfig) -> tuple[ForestConfi
     return config, cut(random_motion(points, config.motion_force, config.seed)) if config.random_motion else points
 
 
-def _query_leaf(k: int):
-    def run(queries, base):
-        import numpy as np
-        import pyarrow as pa
-
-        found = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
-        if queries.num_rows and base.num_rows:
-            q_ids, b_ids = queries.column("id").to_numpy(), base.column("id").to_numpy()
-            b, out = np.array(base.column("vector").to_pylist(), float), []
-            for a in range(0, len(q_ids), 256):
-                q = np.array(queries.column("vector").slice(a, 256).to_pylist(), float)
-                d = ((q[:, None, :] - b[None, :, :]) ** 2).sum(2)
-                order = np.lexsort((np.broadcast_to(b_ids, d.shape), d), axis=1)[:, :k]
-                out.append((np.repeat(q_ids[a : a + 256], order.shape[1]), b_ids[order].ravel(), np.take_along_axis(d, order, 1).ravel()))
-            found = [np.concatenate(c) for c in zip(*out, strict=True)]
-        return pa.table([pa.array(c) for c in found], names=["id", "neighbor_id", "sq_dist"])
-
-    return run
-
-
 def search_forest(base: DataFrame, queries: DataFrame, forest: Forest, k: int) -> DataFrame:
-    """The ``k`` nearest base points of each query among the leaves that it comes to. Queries of a leaf are dealt further by a hash where one leaf gets many."""
-    routed = route(queries, forest).join(queries.select("id", "vector"), "id").withColumn("deal", F.pmod(F.xxhash64("id"), F.lit(DEALS)).cast("int"))
-    members = forest.assignment.select("tree", "path", "id").join(base.select("id", "vector"), "id").withColumn("deal", F.explode(F.sequence(F.lit(0), F.lit(DEALS - 1))))
-    members = members.toDF(*members.columns)  # both sides may come from one table
-    found = routed.groupBy("tree", "path", "deal").cogroup(members.groupBy("tree", "path", "deal")).applyInArrow(_query_leaf(k), CANDIDATES)
-    return nearest(found, k)
-
-
-#: Parts into which a leaf's queries are dealt; the leaf, which is bounded, goes to each.
-DEALS = 4
+    """The ``k`` nearest base points of each query among the leaves that it comes to."""
+    asking = routed(queries, forest).select(_leaf().alias("group"), "id", "vector")
+    return nearest(nearest_in_groups(cut(asking), _leaves(base, forest.assignment), k), k)
 
 
 def knn_search(base: DataFrame, queries: DataFrame, k: int, config: ForestConfig | None = None) -> DataFrame:
@@ -165,20 +134,10 @@ def degrees(edges: DataFrame) -> DataFrame:
     return edges.groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("degree"))
 
 
-def csr_offsets(edges: DataFrame, points: DataFrame, parts: int = 256) -> DataFrame:
-    """id, degree, indptr: how many edges the points with lesser ids have.
-
-    Ids are summed in ranges, so that no window spans all of them.
-    """
+def csr_offsets(edges: DataFrame, points: DataFrame, parts: int | None = None) -> DataFrame:
+    """id, degree, indptr: how many edges the points with lesser ids have."""
     degree = points.select("id").join(degrees(edges), "id", "left").select("id", F.coalesce("degree", F.lit(0)).alias("degree"))
-    ends = degree.agg(F.min("id").alias("lo"), F.max("id").alias("hi"))
-    width = F.greatest(F.ceil((F.col("hi") - F.col("lo") + 1) / parts), F.lit(1))
-    ranged = degree.join(F.broadcast(ends)).withColumn("part", F.floor((F.col("id") - F.col("lo")) / width))
-    before = ranged.groupBy("part").agg(F.sum("degree").alias("n"))
-    w = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    before = before.select("part", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("start"))  # ``parts`` rows
-    own = Window.partitionBy("part").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
-    return ranged.join(F.broadcast(before), "part").select("id", "degree", (F.col("start") + F.coalesce(F.sum("degree").over(own), F.lit(0))).alias("indptr"))
+    return sums_before(degree, "id", "degree", "indptr", parts)
 
 
 def bipartite(assignment: DataFrame) -> DataFrame:

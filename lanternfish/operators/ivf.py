@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from lanternfish.functions.vectors import sample_key
 from lanternfish.operators.exact import exact_search
-from lanternfish.operators.graph import CANDIDATES, _query_leaf
+from lanternfish.operators.groups import nearest_in_groups
 from lanternfish.operators.topk import nearest
+from lanternfish.plans.lineage import cut
 
 
 def hashed_centres(points: DataFrame, n_lists: int, seed: int = 0) -> DataFrame:
@@ -35,8 +36,6 @@ def lists_of(n_points: int) -> int:
 
 def ivf_search(base: DataFrame, queries: DataFrame, k: int, centres: DataFrame, n_probe: int) -> DataFrame:
     """id, neighbor_id, sq_dist, rank: the ``k`` nearest base points in the ``n_probe`` lists nearest to each query."""
-    listed = exact_search(centres, base, 1).select("id", F.col("neighbor_id").alias("list")).join(base.select("id", "vector"), "id")
-    probed = exact_search(centres, queries, n_probe).select("id", F.col("neighbor_id").alias("list")).join(queries.select("id", "vector"), "id")
-    listed = listed.toDF(*listed.columns)  # both sides may come from one table
-    found = probed.groupBy("list").cogroup(listed.groupBy("list")).applyInArrow(_query_leaf(k), CANDIDATES)
-    return nearest(found, k)
+    listed = exact_search(centres, base, 1).select("id", F.col("neighbor_id").alias("group")).join(base.select("id", "vector"), "id")
+    probed = exact_search(centres, queries, n_probe).select("id", F.col("neighbor_id").alias("group")).join(queries.select("id", "vector"), "id")
+    return nearest(nearest_in_groups(cut(probed), cut(listed), k), k)

@@ -6,6 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lanternfish.functions.vectors import hash_uniform
+from lanternfish.operators.numbering import sums_before
+from lanternfish.plans.lineage import cut
+
+#: A vector of so many copies is dealt to as many tasks.
+SALTS = 256
 
 
 def points_of(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -35,11 +40,15 @@ def scale_pixels(points: DataFrame, as_coded: bool = False) -> DataFrame:
 
 def dedup_vectors(points: DataFrame) -> DataFrame:
     """id, first_id, unique_no, n_copies: for each point the least id with the same vector, and the place of the vector among the distinct ones in order of that id."""
-    from pyspark.sql.window import Window
-
-    distinct = points.groupBy("vector").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("n_copies"))
-    number = distinct.select("first_id").withColumn("unique_no", F.row_number().over(Window.orderBy("first_id")) - 1)
-    return points.join(distinct, "vector").join(number, "first_id").select("id", "first_id", "unique_no", "n_copies")
+    distinct = cut(points.groupBy("vector").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("n_copies")))
+    number = sums_before(distinct.select("first_id", F.lit(1).alias("one")), "first_id", "one", "unique_no").select("first_id", "unique_no")
+    numbered = distinct.join(number, "first_id")
+    salt = F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")  # copies of a vector go to several tasks
+    dealt = numbered.withColumn("salt", F.explode(F.when(F.col("n_copies") >= SALTS, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
+    many = points.select("id", "vector", salt.alias("salt")).join(dealt.filter(F.col("n_copies") >= SALTS), ["vector", "salt"])
+    single = points.join(numbered.filter(F.col("n_copies") < SALTS), "vector")
+    columns = ["id", "first_id", "unique_no", "n_copies"]
+    return single.select(*columns).union(many.select(*columns))
 
 
 def minmax(df: DataFrame, column: str, out: str) -> DataFrame:

@@ -34,8 +34,8 @@ def halves(points: DataFrame) -> tuple[DataFrame, DataFrame]:
     return points.filter("id % 2 = 0"), points.filter("id % 2 = 1")
 
 
-def grown(points: DataFrame, config: ForestConfig = SHALLOW) -> forest.Forest:
-    return forest.grow(points, config)
+def grown(points: DataFrame, config: ForestConfig = SHALLOW, k: int = 0) -> forest.Forest:
+    return forest.grow(points, config, k)
 
 
 def exact_knn_graph(spark, sf_dir):
@@ -140,7 +140,7 @@ def bucket_candidates(spark, sf_dir):
 
 def _graph(spark, sf_dir, rounds: int, include_self: bool):
     points = embeddings(spark, sf_dir)
-    return graph.graph_of(points, grown(points), K, rounds, include_self)
+    return graph.graph_of(points, grown(points, k=K), K, rounds, include_self)
 
 
 def knn_graph_no_explore(spark, sf_dir):
@@ -167,7 +167,7 @@ def knn_graph_ensure_valid(spark, sf_dir):
 
 def query_routing(spark, sf_dir):
     base, queries = halves(embeddings(spark, sf_dir))
-    return graph.route(queries, grown(base)).select("tree", "id", "path")
+    return forest.route(queries, grown(base)).select("tree", "id", "path")
 
 
 def knn_search_forest(spark, sf_dir):
@@ -177,7 +177,7 @@ def knn_search_forest(spark, sf_dir):
 
 def _truth_and_found(spark, sf_dir):
     points = embeddings(spark, sf_dir)
-    return exact.exact_graph(points, K), graph.graph_of(points, grown(points), K, 0, False)
+    return exact.exact_graph(points, K), graph.graph_of(points, grown(points, k=K), K, 0, False)
 
 
 def nne_rate(spark, sf_dir):

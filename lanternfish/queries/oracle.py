@@ -84,7 +84,7 @@ COMPONENTS = "SELECT id, CAST(pos - 1 AS INTEGER) AS pos, round({value}, 6) AS v
 TRUTH = f"tr AS ({topk(EXACT_PAIRS)}), gf AS ({topk(IN_LEAF)})"
 COARSE = "pts AS (SELECT p_partkey AS id, [p_size % 7, p_size % 3] AS x FROM part)"
 
-_BASE = "pts AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings), base AS (SELECT * FROM pts WHERE id % 2 = 0), qs AS (SELECT * FROM pts WHERE id % 2 = 1)"
+_BASE = "pts AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings), base AS (SELECT * FROM pts), qs AS (SELECT * FROM pts WHERE id % 50 = 0)"
 # The tree over the base; a query goes where the base's nodes say, and to the sibling of a side that was merged.
 _ROUTED = f"""{forest(4, 32, 128, points='base')},
     kids AS (SELECT tree, substr(path, 1, length(path) - 1) AS parent, path, bool_and(leaf) AS leaf FROM f WHERE depth > 0 GROUP BY tree, path),
@@ -103,10 +103,13 @@ _ROUTED = f"""{forest(4, 32, 128, points='base')},
 ORACLE_SQL: dict[str, str] = {
     "exact_knn_graph": EXACT,
     "exact_knn_graph_blocks": f"WITH {POINTS} {topk('SELECT a.id, b.id AS nb FROM pts a, pts b')}",
-    "exact_knn_search": f"WITH {POINTS} {topk('SELECT a.id, b.id AS nb FROM pts a, pts b WHERE a.id % 2 = 1 AND b.id % 2 = 0')}",
-    "pairwise_sq_l2": f"WITH {POINTS} SELECT a.id AS left_id, b.id AS right_id, round({dist('a.x', 'b.x')}, 6) AS sq_dist FROM pts a, pts b WHERE b.id < 10",
-    "knn_matrix": f"""WITH {POINTS}, g AS ({topk('SELECT a.id, b.id AS nb FROM pts a, pts b WHERE b.id < 7')})
-        SELECT p.id, CAST(s.place AS INTEGER) AS place, coalesce(g.neighbor_id, -1) AS neighbor_id FROM pts p, (SELECT unnest(range(1, {K} + 1)) AS place) s LEFT JOIN g ON g.id = p.id AND g.rank = s.place""",
+    "exact_knn_search": f"WITH {POINTS} {topk('SELECT a.id, b.id AS nb FROM pts a, pts b WHERE a.id % 50 = 0')}",
+    "pairwise_sq_l2": f"WITH {POINTS} SELECT a.id AS left_id, b.id AS right_id, round({dist('a.x', 'b.x')}, 6) AS sq_dist FROM pts a, pts b WHERE b.id % 50 = 0",
+    "knn_matrix": with_forest(
+        f"""SELECT p.id, CAST(s.place AS INTEGER) AS place, coalesce(g.neighbor_id, -1) AS neighbor_id
+        FROM pts p, (SELECT unnest(range(1, {K} + 1)) AS place) s LEFT JOIN g ON g.id = p.id AND g.rank = s.place""",
+        1, 5, 20, f"g AS ({topk(IN_LEAF)})",
+    ),
     "sample_order": f"WITH {POINTS} SELECT id, md5(concat_ws(':', 0, 0, 'r', id)) AS sample_key FROM pts",
     "hyperplane_root": f"{ROOT} SELECT 0 AS tree, CAST(generate_subscripts(normal, 1) - 1 AS INTEGER) AS pos, round(unnest(normal), 6) AS value, round(off, 6) AS offset FROM pl",
     "root_side": f"{ROOT} {SIDE}",
@@ -157,7 +160,7 @@ ORACLE_SQL: dict[str, str] = {
         more=TRUTH,
     ),
     "dist_mean": with_forest(f"SELECT round(avg({dist('a.x', 'b.x')}), 6) AS mean_sq_dist FROM gf g JOIN pts a ON a.id = g.id JOIN pts b ON b.id = g.neighbor_id", more=TRUTH),
-    "missing_neighbors": f"WITH {POINTS} SELECT id, {K} - 7 AS missing FROM pts WHERE (SELECT count(*) FROM pts WHERE id < 7) = 7 AND id < 50 UNION ALL SELECT id, {K} FROM pts WHERE id >= 50",
+    "missing_neighbors": with_forest(f"SELECT id, {K} - (n - 1) AS missing FROM lf JOIN lv USING (tree, path) WHERE n - 1 < {K}", 1, 5, 20, LEAVES),
     "label_agreement": f"WITH {POINTS}, g AS ({topk(EXACT_PAIRS)}) SELECT round(avg(CASE WHEN a.label = b.label THEN 1.0 ELSE 0.0 END), 6) AS agreement FROM g JOIN pts a ON a.id = g.id JOIN pts b ON b.id = g.neighbor_id",
     "throughput_projection": f"WITH {CURVES}, {projected('n / seconds', '[2, 3, 4, 5, 6, 7, 8, 9]')} SELECT method, round(level, 6) AS level, round(y, 6) AS projected FROM pr",
     "speed_up": f"WITH {CURVES}, {projected('seconds', '[2, 3, 4, 5, 6, 7, 8, 9]')} SELECT p.method, round(p.level, 6) AS level, round(b.y / p.y, 6) AS speed_up FROM pr p JOIN pr b ON p.level = b.level AND b.method = 'lists'",

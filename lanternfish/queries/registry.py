@@ -15,7 +15,8 @@ from lanternfish.plans.lineage import cut
 K = 10
 SHALLOW = ForestConfig(seed=0, n_trees=4, min_leaf=32, max_leaf=128, explore=0, include_self=False)
 COLLAPSING = ForestConfig(seed=0, n_trees=3, min_leaf=20, max_leaf=60, explore=0, include_self=False)
-NO_VALID = {"ensure_valid": False}
+#: Leaves that may hold fewer than K others.
+SCANT = ForestConfig(seed=0, n_trees=1, min_leaf=5, max_leaf=20, explore=0, include_self=False)
 
 
 def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,8 +31,9 @@ def plain(found: DataFrame) -> DataFrame:
     return found.select("id", "neighbor_id", F.round("sq_dist", 6).alias("sq_dist"), F.col("rank").cast("int").alias("rank"))
 
 
-def halves(points: DataFrame) -> tuple[DataFrame, DataFrame]:
-    return points.filter("id % 2 = 0"), points.filter("id % 2 = 1")
+def searched(points: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """All points, and the stated queries: those whose id is divisible by 50."""
+    return points, points.filter("id % 50 = 0")
 
 
 def grown(points: DataFrame, config: ForestConfig = SHALLOW, k: int = 0) -> forest.Forest:
@@ -47,19 +49,17 @@ def exact_knn_graph_blocks(spark, sf_dir):
 
 
 def exact_knn_search(spark, sf_dir):
-    return plain(exact.exact_search(*halves(embeddings(spark, sf_dir)), K))
+    return plain(exact.exact_search(*searched(embeddings(spark, sf_dir)), K))
 
 
 def pairwise_sq_l2(spark, sf_dir):
-    points = embeddings(spark, sf_dir)
-    found = exact.pairwise(points, points.filter("id < 10"))
+    found = exact.pairwise(*searched(embeddings(spark, sf_dir)))
     return found.select("left_id", "right_id", F.round("sq_dist", 6).alias("sq_dist"))
 
 
 def knn_matrix(spark, sf_dir):
     points = embeddings(spark, sf_dir)
-    found = exact.exact_search(points.filter("id < 7"), points, K)
-    rows = topk.to_matrix(found, points, K)
+    rows = topk.to_matrix(graph.graph_of(points, grown(points, SCANT, K), K, 0, False), points, K)
     return rows.select("id", F.explode(F.arrays_zip("indices", F.sequence(F.lit(1), F.lit(K)).alias("place"))).alias("x")).select("id", F.col("x.place").cast("int").alias("place"), F.col("x.indices").alias("neighbor_id"))
 
 
@@ -166,12 +166,12 @@ def knn_graph_ensure_valid(spark, sf_dir):
 
 
 def query_routing(spark, sf_dir):
-    base, queries = halves(embeddings(spark, sf_dir))
+    base, queries = searched(embeddings(spark, sf_dir))
     return forest.route(queries, grown(base)).select("tree", "id", "path")
 
 
 def knn_search_forest(spark, sf_dir):
-    base, queries = halves(embeddings(spark, sf_dir))
+    base, queries = searched(embeddings(spark, sf_dir))
     return plain(graph.search_forest(base, queries, grown(base), K))
 
 
@@ -194,7 +194,7 @@ def dist_mean(spark, sf_dir):
 
 def missing_neighbors(spark, sf_dir):
     points = embeddings(spark, sf_dir)
-    return metrics.missing_neighbors(points, exact.exact_search(points.filter("id < 7"), points.filter("id < 50"), K), K)
+    return metrics.missing_neighbors(points, graph.graph_of(points, grown(points, SCANT, K), K, 0, False), K)
 
 
 def label_agreement(spark, sf_dir):

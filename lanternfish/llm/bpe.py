@@ -21,14 +21,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import text_or_empty, trimmed
+from .common import mapped, text_or_empty
 
 #: Pre-tokens that a worker remembers when it begins a batch, at most.
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 #: Pre-tokens of up to so many bytes are merged together, where there are so many.
 SHORT, MANY = 64, 10_000
 #: Bytes of text that are worked on together, but for one text.
-WORK_BYTES = 10_000_000
+WORK_BYTES = 5_000_000
 #: An output batch ends when its text has this many bytes.
 BATCH_BYTES = 4_000_000
 
@@ -352,7 +352,7 @@ def encode(
     rows = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, n_tokens long, ids_text string" + ", decoded binary" * decoded
-    return rows.mapInArrow(trimmed(_encoding(ranks, pattern, decoded)), schema)
+    return mapped(rows, _encoding(ranks, pattern, decoded), schema)
 
 
 def _decoding(ranks):
@@ -373,4 +373,4 @@ def decode(encoded: DataFrame, ranks_path: str, id_col: str = "doc_id", ids_col:
     ranks = spark.sparkContext.broadcast(read_ranks(spark, ranks_path))
     rows = encoded.select(F.col(id_col).alias("doc_id"), text_or_empty(ids_col).alias("ids"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(trimmed(_decoding(ranks)), f"doc_id {kind}, decoded binary")
+    return mapped(rows, _decoding(ranks), f"doc_id {kind}, decoded binary")

@@ -129,6 +129,22 @@ def trimmed(run):
     return wrapped
 
 
+#: Spark's setting of the bytes of a batch of rows for a Python worker, its default, and the size for whole texts.
+BATCH_SIZE, DEFAULT_SIZE, TEXT_SIZE = "spark.sql.execution.arrow.maxBytesPerBatch", 64 << 20, "4m"
+
+
+def mapped(rows: DataFrame, run, schema: str) -> DataFrame:
+    """``rows`` through ``run``, see :func:`trimmed`, in batches of up to ``TEXT_SIZE`` or one row.
+
+    A task's JVM and its Python worker each hold batches, so these bound what it takes. The size is the
+    session's and stays set, as rows are read later; a session that has another size than Spark's default keeps it.
+    """
+    conf = rows.sparkSession.conf
+    if conf.get(BATCH_SIZE, f"{DEFAULT_SIZE}b") == f"{DEFAULT_SIZE}b":
+        conf.set(BATCH_SIZE, TEXT_SIZE)
+    return rows.mapInArrow(trimmed(run), schema)
+
+
 #: Filters of ids have from 2 ** LEAST_BITS to 2 ** MOST_BITS places; beyond so many ids rows are joined instead.
 LEAST_BITS, MOST_BITS = 16, 25
 

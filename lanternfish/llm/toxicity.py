@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import cut, held_out, named, text_or_empty, trimmed
+from .common import cut, held_out, mapped, named, text_or_empty
 from .linear import calibrate, fit_logistic, sigmoid
 from .sampling import of_each_class
 
@@ -362,7 +362,7 @@ def clean_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     rows = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])
     text = rows.columns[[c.lower() for c in docs.columns].index(text_col.lower())]
     schema = StructType([*rows.schema.fields, StructField("score", DoubleType())])
-    return rows.mapInArrow(trimmed(_adding(model, text)), schema).filter(F.col("score") < threshold).drop("score").toDF(*docs.columns)
+    return mapped(rows, _adding(model, text), schema).filter(F.col("score") < threshold).drop("score").toDF(*docs.columns)
 
 
 def toxicity(
@@ -392,5 +392,5 @@ def toxicity(
     model = docs.sparkSession.sparkContext.broadcast(fit_documents(docs, labels, id_col, text_col, most, most_words, most_stems, most_features))
     rows = docs.select(named(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    scored = rows.mapInArrow(trimmed(_scoring(model)), f"doc_id {kind}, score double, n_votes int")
+    scored = mapped(rows, _scoring(model), f"doc_id {kind}, score double, n_votes int")
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "n_votes")

@@ -160,6 +160,22 @@ def _counts(shared, active, seed: int, bins: int):
     return run
 
 
+def _point_counts(shared, active, seed: int):
+    """tree, path, point, n: how many members of an active node are copies of a point, by the md5 of the point."""
+
+    def run(batches):
+        import hashlib
+
+        for batch in batches:
+            for tree, path, _, at, _, x in _at_nodes(shared, seed, batch):
+                if (tree, path) in active.value:
+                    found, n = np.unique(T.point_keys(x[at]), return_counts=True)
+                    points = [hashlib.md5(v.tobytes()).digest() for v in found]
+                    yield pa.RecordBatch.from_arrays([pa.array([tree] * len(n), pa.int32()), pa.array([path] * len(n), pa.string()), pa.array(points, pa.binary()), pa.array(n, pa.int64())], ["tree", "path", "point", "n"])
+
+    return run
+
+
 def _dealing(shared, placed, seed: int):
     """A row for each tree of a point: its cell, or the leaf above the cells, with the vector."""
 
@@ -278,11 +294,18 @@ def _tops(vectors: DataFrame, config: ForestConfig, room: int, d: int) -> tuple[
             for r in two.withColumn("n", F.row_number().over(w)).filter("n <= 2").orderBy("tree", "path", "n").collect():  # two rows a top node
                 held.setdefault((r["tree"], r["path"]), []).append(np.array(r["vector"], float))
             flat = {at: T.halfway(v[0], v[-1]) for at, v in held.items()}
-        known = {at: (*flat[at], T.stuck(at[1], active[at][1] + (not flat[at][0].any())), None) for at in active}
-        counts, below = summed(known), {}
+        counts, below = summed({at: (*flat[at], False, None) for at in active}), {}
+        sides = {at: (int(counts[at].get(0, 0)), int(counts[at].get(1, 0))) for at in active}
+        doubtful = {at for at, (_, same) in active.items() if T.doubtful(at[1], flat[at][0], sides[at], same, config.min_leaf, config.max_leaf)}
+        unknown = {at for at in doubtful if active[at][1] < T.HALVED}
+        if unknown:
+            points = vectors.mapInArrow(_point_counts(sc.broadcast(tops), sc.broadcast(unknown), seed), "tree int, path string, point binary, n long")
+            points = points.groupBy("tree", "path", "point").agg(F.sum("n").alias("n")).filter(F.col("n") > config.max_leaf).select("tree", "path").distinct()
+            doubtful = doubtful - unknown | {(r["tree"], r["path"]) for r in points.collect()}  # a row a top node
+        halved = summed({at: (*flat[at], True, None) for at in doubtful}) if doubtful else {}
         for (t, path), (depth, same) in active.items():
-            n = [int(counts[t, path].get(place, 0)) for place in range(4)]
-            node = T.decided(path, depth, *flat[t, path], (n[0], n[1]), (n[2], n[3]), same, config.min_leaf, config.max_leaf, config.max_depth)
+            half = tuple(int(halved[t, path].get(place, 0)) for place in (2, 3)) if (t, path) in halved else None
+            node = T.decided(path, depth, *flat[t, path], sides[t, path], half, same, config.min_leaf, config.max_leaf, config.max_depth)
             tops[t][path] = node
             whole = node.n_left + node.n_right
             sizes = {node.merged: whole} if node.merged else {"L": node.n_left, "R": node.n_right}

@@ -12,10 +12,14 @@ from dataclasses import dataclass
 
 import numpy as np
 
-#: After so many levels that end a path alike a node that a plane still can't part is halved by hash.
-STUCK = 8
-#: A node whose anchors are the same point this many levels in a row is halved too: most of it are copies, which no plane parts.
-SAME = 2
+#: After so many levels that end a path alike, or so many in a row whose anchors are the same point, a node that
+#: its plane doesn't part is looked at for copies: where more than a leaf holds are of one point, no plane ever parts
+#: them, and it is halved by hash. All other nodes get new anchors a level, until a plane parts them.
+STUCK, SAME = 8, 2
+#: Added to the levels with equal anchors below a halved node, where all that a plane doesn't part for so long is halved.
+HALVED = 1 << 20
+#: After so many levels in a row that didn't part it, a node of a cell is tried with all pairs of its distinct points, if these are so few.
+TRIED, DISTINCT = 64, 256
 
 
 @dataclass(slots=True)
@@ -73,13 +77,49 @@ def direction(seed: int, tree: int, path: str, d: int) -> np.ndarray:
 
 
 def stuck(path: str, same: int) -> bool:
-    return same >= SAME or (len(path) > STUCK and path[-STUCK:] in ("L" * STUCK, "R" * STUCK))
+    return same % HALVED >= SAME or (len(path) > STUCK and path[-STUCK:] in ("L" * STUCK, "R" * STUCK))
 
 
-def decided(path: str, depth: int, normal: np.ndarray, offset: float, sides: tuple[int, int], halved: tuple[int, int], same: int, least: int, most: int, max_depth: int) -> Node:
-    """A node by the members on either side of its plane, and of a halving by hash."""
-    same = same + 1 if not normal.any() else 0
-    half = min(sides) < least and sum(sides) > most and stuck(path, same)
+def equal_anchors(normal: np.ndarray, same: int) -> int:
+    """Levels in a row, with this one, whose anchors are the same point."""
+    return same + 1 if not normal.any() else same - same % HALVED
+
+
+def doubtful(path: str, normal: np.ndarray, sides: tuple[int, int], same: int, least: int, most: int) -> bool:
+    """Whether a node, whose plane doesn't part it, is to be looked at for copies."""
+    return min(sides) < least and sum(sides) > most and stuck(path, equal_anchors(normal, same))
+
+
+def point_keys(x: np.ndarray) -> np.ndarray:
+    """The bytes of each point, which are equal for copies."""
+    x = np.ascontiguousarray(x + 0.0)
+    return x.view(np.dtype((np.void, x.shape[1] * x.itemsize))).ravel() if x.shape[1] else np.zeros(len(x), "V1")
+
+
+def copied(x: np.ndarray, most: int) -> bool:
+    """Whether one point has more copies than a leaf holds."""
+    return int(np.unique(point_keys(x), return_counts=True)[1].max()) > most
+
+
+def unpartable(x: np.ndarray, least: int) -> bool:
+    """Whether no plane between two of the points leaves ``least`` on either side. Of many distinct points it is taken that one does."""
+    first = np.sort(np.unique(point_keys(x), return_index=True)[1])
+    if len(first) > DISTINCT:
+        return False
+    for a in first.tolist():
+        for b in first.tolist():
+            normal, offset = halfway(x[a], x[b])
+            below = int((dots(x, normal) < offset).sum())
+            if min(below, len(x) - below) >= least:
+                return False
+    return True
+
+
+def decided(path: str, depth: int, normal: np.ndarray, offset: float, sides: tuple[int, int], halved: tuple[int, int] | None, same: int, least: int, most: int, max_depth: int) -> Node:
+    """A node by the members on either side of its plane, or of a halving by hash."""
+    same, half = equal_anchors(normal, same), halved is not None
+    if half and same < HALVED:
+        same += HALVED
     n_left, n_right = halved if half else sides
     merged = ("L" if n_left >= n_right else "R") if min(n_left, n_right) < least and not half else None
     whole, last = n_left + n_right <= most, depth + 1 >= max_depth
@@ -99,9 +139,9 @@ def ways(node: Node, path: str, seed: int, ids: np.ndarray, x: np.ndarray) -> np
 def grown(seed: int, tree: int, root: str, depth: int, same: int, ids: np.ndarray, x: np.ndarray, least: int, most: int, max_depth: int, split: str) -> tuple[list, list]:
     """Nodes (path, depth, node) and leaves (path, depth, places) of the subtree of a node over its members, which lie here."""
     nodes, leaves = [], []
-    stack = [(root, depth, same, np.arange(len(ids)))]
+    stack = [(root, depth, same, 0, np.arange(len(ids)))]
     while stack:
-        path, depth, same, at = stack.pop()
+        path, depth, same, failed, at = stack.pop()
         own, points = ids[at], x[at]
         if split == "projection":
             normal = direction(seed, tree, path, x.shape[1])
@@ -112,16 +152,18 @@ def grown(seed: int, tree: int, root: str, depth: int, same: int, ids: np.ndarra
             normal, offset = halfway(points[two[0][2]], points[two[-1][2]])
         left = ~(dots(points, normal) < offset)
         sides = int(left.sum()), int((~left).sum())
-        node = decided(path, depth, normal, offset, sides, (0, 0), same, least, most, max_depth)
-        if node.halved:
+        failed = failed + 1 if min(sides) < least else 0
+        half = None
+        if doubtful(path, normal, sides, same, least, most) and (same >= HALVED or copied(points, most)) or failed and sum(sides) > most and failed % TRIED == 0 and split == "points" and unpartable(points, least):
             left = halves(seed, path, own)
-            node = decided(path, depth, normal, offset, sides, (int(left.sum()), int((~left).sum())), same, least, most, max_depth)
-        elif node.merged:
+            half = int(left.sum()), int((~left).sum())
+        node = decided(path, depth, normal, offset, sides, half, same, least, most, max_depth)
+        if node.merged:
             left[:] = node.merged == "L"
         nodes.append((path, depth, node))
         for way, chosen in (("R", ~left), ("L", left)):
             if chosen.any():
-                (leaves if node.leaf(way) else stack).append((path + way, depth + 1, at[chosen]) if node.leaf(way) else (path + way, depth + 1, node.same, at[chosen]))
+                (leaves if node.leaf(way) else stack).append((path + way, depth + 1, at[chosen]) if node.leaf(way) else (path + way, depth + 1, node.same, failed, at[chosen]))
     return nodes, leaves
 
 

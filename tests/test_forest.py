@@ -137,3 +137,26 @@ def test_copies_are_numbered(points):
 def test_sums_over_ranges(spark):
     rows = spark.createDataFrame([(i * i, i) for i in range(100)], "id long, at long")
     assert {r.id: r.s for r in numbering.sums_before(rows, "id", "at", "s", 9).collect()} == {i * i: sum(range(i)) for i in range(100)}
+
+
+@pytest.mark.parametrize("cell_bytes", [forest.CELL_BYTES, SMALL])
+def test_no_more_copies_than_a_leaf_holds_get_new_anchors_until_parted(spark, cell_bytes):
+    """Their node isn't halved by hash, however often its anchors are the same point: the SQL doesn't halve either."""
+    x = np.repeat([[0.0] * 5, [1.0] * 5, [9.0] * 5, [10.0] * 5], [16, 6, 16, 6], axis=0)
+    points = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vector array<double>")
+    found = forest.grow(points, ForestConfig(seed=1, n_trees=24, min_leaf=6, max_leaf=16, explore=0), cell_bytes=cell_bytes)
+    assert not found.nodes.filter("halved").count()
+    groups = {}
+    for (tree, i), (path, _) in leaves(found).items():
+        groups.setdefault((tree, path), set()).add(i)
+    whole = [set(range(a, b)) for a, b in ((0, 16), (16, 22), (22, 38), (38, 44))]
+    assert all(own >= w or not own & w for own in groups.values() for w in whole) and max(map(len, groups.values())) <= 16
+
+
+def test_a_node_that_no_pair_of_points_parts_ends():
+    from lanternfish.operators import trees
+
+    x = np.repeat([[0.0, 0.0], [1.0, 0.0], [0.0, 1.0]], [16, 4, 4], axis=0)
+    assert trees.unpartable(x, 5) and not trees.copied(x, 16) and not trees.unpartable(x, 4)
+    nodes, found = trees.grown(0, 0, "r", 0, 0, np.arange(24), x, 5, 20, 5000, "points")
+    assert len(nodes) < 2 * trees.TRIED and sorted(np.concatenate([at for *_, at in found]).tolist()) == list(range(24))

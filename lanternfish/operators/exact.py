@@ -1,9 +1,9 @@
 """Exact nearest neighbours by blocks.
 
-Both sides are dealt into blocks by a hash of their ids. A task gets one block of
-queries and one of base points as matrices, and returns the k nearest of each
-query, so what moves on is k rows a query and block. A base small enough is sent to all
-tasks instead, and the queries stay where they are.
+A base small enough is sent to all tasks. A larger one is written once to the shared
+folder; a task holds some queries, reads the base block by block, and keeps
+the k nearest of each query so far. What takes disk is so one copy of the base and
+k rows a query, however many blocks there are, and nothing is dealt out by pairs of blocks.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lanternfish.operators.topk import nearest
+from lanternfish.plans.lineage import cut, filed, removed
 
 #: A base of up to so many bytes is broadcast.
 BROADCAST_BYTES = 32 << 20
@@ -22,6 +23,9 @@ BROADCAST_BYTES = 32 << 20
 #: A matrix of queries and base points has at most so many entries, or one row.
 ENTRIES = 1 << 22
 
+#: Vectors of the queries that a task holds while it reads the base take so many bytes at most, or a batch.
+HELD_BYTES = 16 << 20
+
 #: So many pairs are measured and ordered at a time.
 PAIRS = 1 << 20
 
@@ -30,9 +34,12 @@ def _few_copies(ids, vectors, most: int):
     """The rows by id, but those of a vector beyond its ``most`` least ids: copies are equally near to all, so none of the others comes in."""
     import numpy as np
 
+    order = np.argsort(ids, kind="stable")
+    if len(np.unique((vectors * vectors).sum(1))) == len(vectors) == len(np.unique(ids)):
+        return ids[order], vectors[order]
     seen: dict[bytes, tuple[int, int]] = {}
     chosen = []
-    for at in np.argsort(ids, kind="stable").tolist():
+    for at in order.tolist():
         key = (vectors[at] + 0.0).tobytes()
         n, last = seen.get(key, (0, None))
         if n < most and ids[at] != last:
@@ -53,9 +60,9 @@ def _same(ids, b_ids):
 
 
 def block_function(k: int, include_self: bool, same: bool):
-    """A function of query ids and vectors, base ids in ascending order and base vectors: the k nearest base points of each query."""
+    """A function of query ids and vectors, base ids in ascending order and base vectors: the k nearest base points of each query, as its id or with ``places`` its place, their ids and distances. None need be found beyond a query's ``bound``."""
 
-    def measured(ids, q, b_ids, b, may, first):
+    def measured(q, b_ids, b, may, first):
         """The k nearest, by distance and id, among the base points that each query from ``first`` on may have."""
         import numpy as np
 
@@ -68,9 +75,9 @@ def block_function(k: int, include_self: bool, same: bool):
         order = np.lexsort((b_ids[j], exact, i))
         i, j, exact = i[order], j[order], exact[order]
         good = (np.arange(len(i)) - np.searchsorted(i, i) < k) & np.isfinite(exact)
-        return ids[i[good]], b_ids[j[good]], exact[good]
+        return i[good], b_ids[j[good]], exact[good]
 
-    def top(q_ids, q, b_ids, b):
+    def top(q_ids, q, b_ids, b, bound=None, places=False):
         import numpy as np
 
         squares = (b * b).sum(1)
@@ -89,14 +96,18 @@ def block_function(k: int, include_self: bool, same: bool):
             # The k-th least of the groups' least is no nearer than the k-th. All that may be as near, but for rounding, are measured exactly.
             least = rough[:, : len(b_ids) // groups * groups].reshape(len(part), -1, groups).min(1)
             reach = np.partition(least, min(k, groups) - 1, axis=1)[:, min(k, groups) - 1]
-            reach = reach + 8 * (b.shape[1] + 4) * np.finfo(float).eps * ((part * part).sum(1) + squares.max())
+            own = (part * part).sum(1)
+            if bound is not None:
+                reach = np.minimum(reach, bound[a : a + step] - own)
+            reach = reach + 8 * (b.shape[1] + 4) * np.finfo(float).eps * (own + squares.max())
             may = rough <= np.minimum(reach, np.finfo(float).max)[:, None]
             ends = may.sum(1).cumsum()
             first = 0
             while first < len(ids):
                 before = ends[first - 1] if first else 0
                 last = max(first + 1, int(np.searchsorted(ends, before + PAIRS, side="right")))
-                out.append(measured(ids, part, b_ids, b, may[first:last], first))
+                at, *rest = measured(part, b_ids, b, may[first:last], first)
+                out.append((at + a if places else ids[at], *rest))
                 first = last
         return [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
 
@@ -119,18 +130,65 @@ def _broadcast_map(base, top):
     return run
 
 
-def _block_map(top, k: int):
-    def run(queries, base):
+def _file_blocks(folder: str, names: list[str], block: int):
+    """Ids and vectors of the base that was written to the shared folder, up to ``block`` rows at a time."""
+    import pyarrow.parquet as pq
+
+    from lanternfish.functions.arrow import matrix
+    from lanternfish.plans.lineage import file_system
+
+    store, inside = file_system(folder)
+    for name in names:
+        with store.open_input_file(f"{inside}/{name}") as file:
+            for batch in pq.ParquetFile(file).iter_batches(block, columns=["id", "vector"]):
+                if batch.num_rows:
+                    yield batch.column("id").to_numpy(), matrix(batch.column("vector"))
+
+
+def _file_map(top, k: int, folder: str, names: list[str], block: int):
+    """The k nearest of each query among the base in the shared folder, which is read once for the queries held."""
+
+    def searched(ids, q):
         import numpy as np
         import pyarrow as pa
 
-        if queries.num_rows and base.num_rows:
-            q = np.array(queries.column("vector").to_pylist(), float)
-            b = np.array(base.column("vector").to_pylist(), float)
-            found = top(queries.column("id").to_numpy(), q, *_few_copies(base.column("id").to_numpy(), b, k + 1))
-        else:
-            found = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
-        return pa.table([pa.array(x) for x in found], names=["id", "neighbor_id", "sq_dist"])
+        best = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+        bound, new, waiting = np.full(len(q), np.inf), [], 0
+
+        def merged():
+            at, others, dists = (np.concatenate(x) for x in zip(best, *new, strict=True))
+            order = np.lexsort((others, dists, at))
+            at, others, dists = at[order], others[order], dists[order]
+            rank = np.arange(len(at)) - np.searchsorted(at, at)
+            last = rank == k - 1
+            bound[at[last]] = dists[last]
+            return [c[rank < k] for c in (at, others, dists)]
+
+        for b_ids, b in _file_blocks(folder, names, block):
+            new.append(top(ids, q, *_few_copies(b_ids, b, k + 1), bound, True))
+            waiting += len(new[-1][0])
+            if waiting > len(q) * k // 4:
+                best, new, waiting = merged(), [], 0
+        best = merged()
+        for a in range(0, len(best[0]), 1 << 16):
+            at, others, dists = (c[a : a + (1 << 16)] for c in best)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(others), pa.array(dists)], ["id", "neighbor_id", "sq_dist"])
+
+    def run(batches):
+        import pyarrow as pa
+
+        from lanternfish.functions.arrow import matrix
+
+        held = []
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+            if held and sum(x.nbytes for x in held) >= HELD_BYTES:
+                rows, held = pa.Table.from_batches(held), []
+                yield from searched(rows.column("id").to_numpy(), matrix(rows.column("vector")))
+        if held:
+            rows = pa.Table.from_batches(held)
+            yield from searched(rows.column("id").to_numpy(), matrix(rows.column("vector")))
 
     return run
 
@@ -139,6 +197,7 @@ def exact_search(base: DataFrame, queries: DataFrame, k: int, include_self: bool
     """id, neighbor_id, sq_dist, rank: the ``k`` nearest points of ``base`` (id, vector) for each query (id, vector).
 
     Ties go to the least neighbor_id. With ``same`` ids name the same points on both sides, and a point is or isn't its own neighbour as ``include_self`` says.
+    A base of more than ``broadcast_bytes`` is read by tasks, ``block`` points at a time.
     """
     if k < 1:
         raise ValueError("k must be at least 1")
@@ -154,13 +213,14 @@ def exact_search(base: DataFrame, queries: DataFrame, k: int, include_self: bool
         rows = base.select("id", "vector").toArrow()
         shared = spark.sparkContext.broadcast(_few_copies(rows.column("id").to_numpy(), np.array(rows.column("vector").to_pylist(), float), k + 1))
         return nearest(queries.select("id", "vector").mapInArrow(_broadcast_map(shared, top), schema), k)
-    n_base = math.ceil(size["n"] / block)
-    n_queries = math.ceil(queries.count() / block)
-    q = queries.select("id", "vector", F.pmod(F.xxhash64("id"), F.lit(n_queries)).alias("qb"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_base - 1).cast("long"))).alias("bb"))
-    b = base.select("id", "vector", F.pmod(F.xxhash64("id"), F.lit(n_base)).alias("bb"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_queries - 1).cast("long"))).alias("qb"))
-    b = b.toDF(*b.columns)  # both sides may come from one table
-    found = q.groupBy("qb", "bb").cogroup(b.groupBy("qb", "bb")).applyInArrow(_block_map(top, k), schema)
-    return nearest(found, k)
+    n = queries.count()
+    parts = max(spark.sparkContext.defaultParallelism, math.ceil(n * (size["d"] or 0) * 8 / HELD_BYTES))
+    rows = queries.select("id", "vector").repartition(max(1, min(parts, math.ceil(n / block))))
+    folder, names = filed(base.select("id", "vector"), "base")
+    try:
+        return cut(nearest(rows.mapInArrow(_file_map(top, k, folder, names, block), schema), k))
+    finally:
+        removed(folder)
 
 
 def exact_graph(points: DataFrame, k: int, include_self: bool = False, **options) -> DataFrame:

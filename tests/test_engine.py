@@ -150,3 +150,20 @@ def test_csr(points):
 
     rows = csr_offsets(symmetric(exact.exact_graph(points, 3)), points, parts=7).orderBy("id").collect()
     assert [r.indptr for r in rows] == [sum(x.degree for x in rows[:i]) for i in range(len(rows))]
+
+
+def test_blocks_move_the_base_once(spark):
+    """However many blocks the base has; dealt out by pairs of blocks, vectors were exchanged once for each block."""
+
+    def shuffled():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        found = spark.sparkContext._jsc.sc().statusStore().executorList(False)
+        return sum(found.apply(i).totalShuffleWrite() for i in range(found.size()))
+
+    x = np.random.default_rng(9).normal(size=(2000, 16))
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vector array<double>").cache()
+    rows.count()
+    before = shuffled()
+    found = exact.exact_graph(rows, 3, block=20, broadcast_bytes=0)
+    assert set(edges(found)) == brute(x, 3, False)
+    assert 0 < shuffled() - before < 4 * x.nbytes
